@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .hashing import PUNCT, Tokens, chunks, mix, signed
 from .io import by_size, table
@@ -60,7 +60,7 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long"), F.col("text").cast("string"))
 
 
-@F.pandas_udf("struct<matched int, pos int>")
+@F.pandas_udf(T.StructType().add("matched", T.IntegerType()).add("pos", T.IntegerType()))
 def _best_window(hits: pd.Series, length: pd.Series) -> pd.DataFrame:
     """The most distinct shingles in any window of ``length`` positions, and the first such window's first hit."""
     best, where = [], []

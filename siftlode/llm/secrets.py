@@ -27,14 +27,14 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .io import fresh
 
 PATTERN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 LEAST = 16
-CLASSES = (16, 20, 24, 32, 48, 64)
-FDR = 0.01
+CLASSES = (16, 20, 24, 32, 40, 48, 64)
+FDR = 0.05
 LEVEL = 0.001
 BINS = 400
 MASK = "[SECRET]"
@@ -124,7 +124,7 @@ def _mixed(token: Column) -> Column:
     return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
 
 
-@F.pandas_udf("struct<class int, bin int>")
+@F.pandas_udf(T.StructType().add("class", T.IntegerType()).add("bin", T.IntegerType()))
 def _scored(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(length_class(len(x.rstrip("="))), score_bin(battery(x)[1])) for x in tokens], columns=["class", "bin"])
 
