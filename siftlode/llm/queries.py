@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, line_rules, packing, repeats, secrets, sharding
+from . import decontam, jaccard, langid, line_rules, packing, repeats, secrets, sharding, site_tree
 from .io import read
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_jaccard_join": lambda spark, d: jaccard.jaccard_join(read(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op5_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
+    "op6_site_style_tree": lambda spark, d: site_tree.extract(read(spark, d, "pages")),
     "op7_sharding": lambda spark, d: sharding.range_shards(read(spark, d, "documents")),
     "op8_repeated_passages": lambda spark, d: repeats.repeated_passages(read(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secrets.secrets(read(spark, d, "documents")),
