@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, line_rules, packing, repeats, secrets, sharding, site_tree
+from . import decontam, jaccard, langid, line_rules, packing, repeats, secrets, sharding, site_quality, site_tree
 from .io import read
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_site_style_tree": lambda spark, d: site_tree.extract(read(spark, d, "pages")),
     "op7_sharding": lambda spark, d: sharding.range_shards(read(spark, d, "documents")),
     "op8_repeated_passages": lambda spark, d: repeats.repeated_passages(read(spark, d, "documents")),
+    "op9_site_quality": lambda spark, d: site_quality.site_quality(read(spark, d, "documents"), read(spark, d, "labels")),
     "op10_secret_scan": lambda spark, d: secrets.secrets(read(spark, d, "documents")),
 }
 
