@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .hashing import PUNCT, Tokens, chunks, mix, signed
-from .io import by_size, table
+from .io import by_size, fresh, table
 
 N = 3
 CONTAINMENT = 0.6
@@ -117,8 +117,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, containment:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, containment: float = CONTAINMENT) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without doc_id stay."""
-    gone = table(contaminated(docs, benchmark, n, containment).select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(by_size(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    other = fresh("gone", docs.columns)
+    gone = table(contaminated(docs, benchmark, n, containment).select(F.col("doc_id").alias(other)).distinct())
+    return docs.join(by_size(gone), F.col("doc_id") == F.col(other), "left_anti")
 
 
 SQL = r"""
