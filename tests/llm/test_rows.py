@@ -1,0 +1,252 @@
+"""Line rules, packing, sharding, language identification and secrets."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from siftlode.llm import langid, line_rules, packing, secrets, sharding
+
+from ..check_sql import rows_of, rows_of_sql
+from .nasty import empty, frame, rows, words
+
+# line rules
+
+
+def test_boilerplate_lines_go(spark):
+    foot = "Copyright  2024 Example"
+    data = [(i, f"own line {chr(97 + i)}\nmore of {chr(97 + i)} here\n{foot.replace('2024', str(2000 + i))}", "aa", "s", 1) for i in range(15)]
+    data += [(50, foot, "aa", "s", 1), (51, foot, "aa", "other", 1), (52, None, "aa", "s", 1), (53, "", "aa", "s", 1), (54, "\n \n", "aa", None, 1), (55, foot + "\ntext", "aa", None, 1), data[0], (None, foot + "\nlong line of its own, longer than the foot", "aa", "s", 1)]
+    out = {(r["doc_id"], r["source"]): r for r in line_rules.line_frequency_rules(frame(spark, data)).collect()}
+    assert out[3, "s"]["text"] == "own line d\nmore of d here" and out[3, "s"]["removed"] == 1 and out[3, "s"]["lines"] == 3 and out[3, "s"]["kept"]
+    assert out[50, "s"]["text"] == "" and not out[50, "s"]["kept"]
+    assert out[51, "other"]["text"] == foot and out[51, "other"]["kept"]
+    assert out[52, "s"]["text"] is None and not out[52, "s"]["kept"]
+    assert not out[53, "s"]["kept"] and not out[54, None]["kept"] and out[54, None]["removed"] == 0
+    assert out[None, "s"]["removed"] == 1 and out[None, "s"]["kept"]
+    assert line_rules.line_frequency_rules(frame(spark, data)).count() == len(data)
+    assert {r["doc_id"] for r in line_rules.drop_depleted(frame(spark, data)).collect()} >= {0, 3, 51, 55, None}
+
+
+def test_line_rules_of_odd_rows(spark):
+    assert line_rules.line_frequency_rules(frame(spark)).count() == len(rows())
+    assert line_rules.line_frequency_rules(empty(spark)).collect() == []
+
+
+# packing
+
+
+def brute_padding(lengths, buckets):
+    """The least sum of padded lengths, by trying every set of boundaries."""
+    from itertools import combinations
+
+    d = sorted(set(lengths))
+    best = math.inf
+    for k in range(min(buckets, len(d))):
+        for cut in combinations(d[:-1], k):
+            ends = [*cut, d[-1]]
+            best = min(best, sum(next(e for e in ends if e >= x) for x in lengths))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_boundaries_are_optimal(seed):
+    draw = random.Random(seed)
+    lengths = [draw.choice([1, 2, 3, 5, 8, 13, 14, 15, 40, 41, 100]) for _ in range(60)]
+    c = Counter(lengths)
+    sizes, counts = np.array(sorted(c)), np.array([c[x] for x in sorted(c)])
+    for buckets in (1, 2, 3, 4, 20):
+        ends = packing.best_boundaries(sizes, counts, buckets)
+        assert len(ends) <= buckets and ends[-1] == sizes[-1] and ends == sorted(set(ends))
+        assert sum(next(e for e in ends if e >= x) for x in lengths) == brute_padding(lengths, buckets)
+
+
+def test_packing(spark):
+    out = packing.pack(frame(spark), buckets=3, budget=200, shard_rows=10).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(x[0]) for x in rows())
+    assert all(r["n_tokens"] <= r["padded"] for r in out)
+    held = defaultdict(list)
+    for r in out:
+        held[r["bucket"], r["shard"], r["batch"]].append(r)
+    for batch in held.values():
+        assert len(batch) == 1 or sum(r["padded"] for r in batch) <= 200
+        assert sorted(r["slot"] for r in batch) == list(range(len(batch)))
+    assert {r["n_tokens"] for r in out if r["doc_id"] in (100, 101, 102)} == {0}
+    assert packing.pack(empty(spark)).collect() == []
+
+
+def test_packing_by_a_public_tokenizer(spark):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    files = [x for x in [Path("/opt/tokenizers/byte_bpe_50k.json")] if x.exists()]
+    if not files:
+        pytest.skip("no tokenizer file")
+    df = frame(spark, rows()[:5] + [(9, None, None, None, None)])
+    known = Tokenizer.from_file(str(files[0]))
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.pack(df, packing.bpe_tokens(F.col("text"), str(files[0]))).collect()}
+    assert got[9] == 0 and got[0] == len(known.encode(rows()[0][1], add_special_tokens=False))
+
+
+# sharding
+
+
+def test_shards_are_ranges_of_even_size(spark):
+    draw = random.Random(4)
+    data = [(i, "x" * draw.choice([10, 100, 1000]), "aa", f"s{draw.randrange(5)}" if draw.random() < 0.9 else None, 1) for i in range(600)]
+    out = sharding.range_shards(frame(spark, data), shards=8, oversample=16).collect()
+    key = lambda r: (r["source"] is not None, r["source"] or "", r["doc_id"])
+    ordered = sorted(out, key=key)
+    assert [r["shard"] for r in ordered] == sorted(r["shard"] for r in ordered)
+    held = Counter()
+    for r in out:
+        held[r["shard"]] += len(r["text"])
+    share = sum(held.values()) / 8
+    assert len(held) >= 8 and max(held.values()) <= sharding.SLACK * share + 1000
+    assert len(out) == 600
+
+
+def test_an_overfull_range_is_cut_again(spark):
+    # records below the unit that are all unlikely to be drawn, in one place
+    data = [(i, "x" * 5000, "aa", "a", 1) for i in range(20)] + [(i, "y" * 3, "aa", "b", 1) for i in range(100, 400)]
+    out = sharding.range_shards(frame(spark, data), shards=4, oversample=1).collect()
+    held = Counter()
+    for r in out:
+        held[r["shard"]] += len(r["text"])
+    assert max(held.values()) <= sharding.SLACK * sum(held.values()) / 4 + 5000
+
+
+def test_shards_of_odd_rows(spark):
+    out = sharding.range_shards(frame(spark))
+    assert out.count() == len(rows()) and set(out.columns) == set(frame(spark).columns)
+    assert sharding.range_shards(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize(("sql", "run"), [(sharding.SQL, sharding.range_shards), (packing.SQL, packing.pack), (line_rules.SQL, line_rules.line_frequency_rules)])
+def test_sql_on_plain_rows(spark, sql, run):
+    data = [r for r in rows() if None not in r]
+    data = list({r[0]: r for r in data}.values())
+    frame_ = pd.DataFrame(data, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    assert rows_of(run(frame(spark, data, extra=False))) == rows_of_sql(sql, documents=frame_)
+
+
+# language identification
+
+
+def tongues(seed=1, each=60):
+    draw = random.Random(seed)
+    stems = {"aa": "ka lo mi nu pe".split(), "bb": "zri qu xth wy vv".split(), "cc": "éa ôn çi ûl àm".split()}
+    return [(i * 3 + k, words(draw, draw.randint(8, 60), s), lang, "s", 1) for i in range(each) for k, (lang, s) in enumerate(stems.items())]
+
+
+def test_languages_are_told_on_held_out_rows(spark):
+    model = langid.train(frame(spark, tongues()), per_language=40)
+    test = tongues(2)
+    out = {r["doc_id"]: r for r in langid.identify(frame(spark, test), model=model).collect()}
+    right = [out[r[0]]["lang_pred"] == r[2] for r in test]
+    assert sum(right) >= 0.98 * len(right)
+    assert 0.1 <= model.temperature <= 6 and 0 < (model.weights != 0).mean() < 0.2
+
+
+def test_calibration_lowers_the_loss(spark):
+    model = langid.Model(["a", "b"], np.ones(langid.FEATURES))
+    model.weights[0, 0] = model.weights[1, 1] = 3
+    rows_ = [(np.array([k]), np.array([1.0])) for k in (0, 0, 0, 1, 1, 1)]
+    model.calibrate(["a", "a", "b", "b", "b", "a"], rows_)  # a third are wrong: confidence must fall
+    assert model.temperature > 3
+
+
+def test_languages_of_odd_rows(spark):
+    df = frame(spark)
+    out = langid.identify(df).collect()
+    assert len(out) == len(rows())
+    by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    for i in (100, 101, 102):
+        assert (by[i]["lang_pred"], by[i]["confidence"], by[i]["accepted"]) == ("und", 0.0, False)
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {100, 101, 102}.isdisjoint({r["doc_id"] for r in kept.collect()})
+    assert langid.identify(empty(spark)).collect() == [] and langid.keep_identified(empty(spark)).collect() == []
+    assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# secrets
+
+
+def test_random_strings_look_random():
+    draw = random.Random(5)
+    hexes = [secrets.battery("".join(draw.choices("0123456789abcdef", k=40)))[1] for _ in range(500)]
+    assert np.mean([x > -math.log10(0.01) for x in hexes]) < 0.05
+    assert secrets.battery("0123456789abcdef" * 3)[1] > 3 or secrets.battery("aaaaaaaaaaaaaaaaaaaaaaaa1")[1] > 3
+    assert secrets.battery("DEADBEEF0123456789AB")[0] == "hex" and secrets.battery("abcdefghijklmnop1z")[0] == "lower36" and secrets.battery("Abc+/09defGHIjklm==")[0] == "base64"
+
+
+@pytest.fixture(scope="module")
+def leaky():
+    draw = random.Random(11)
+    out, planted = [], {}
+    for i in range(120):
+        t = words(draw, 60) + " " + "".join(draw.choices("etaoinshr", k=draw.randint(16, 50)))
+        if i % 4 == 0:
+            s = "".join(draw.choices("0123456789abcdef", k=40) if i % 8 else draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+            planted[i] = s
+            t += f' key="{s}" and again {s} end'
+        elif i % 4 == 1:
+            t += " chapter-12-of-the-long-story-of-the-hill 2024-11-25"
+        out.append((i, t, "aa", "s", len(t)))
+    return out, planted
+
+
+def test_secrets_are_found_and_words_are_not(spark, leaky):
+    data, planted = leaky
+    got = secrets.secrets(frame(spark, data)).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert len(found) >= 0.85 * len(planted) and set(found) <= set(planted)
+    for i, r in found.items():
+        assert r["secret_md5"] == hashlib.md5(planted[i].encode()).hexdigest() and r["occurrences"] == 2 and r["chars"] == 40
+
+
+def test_masking(spark, leaky):
+    data, planted = leaky
+    df = frame(spark, data)
+    out = secrets.mask_secrets(df)
+    assert out.columns == df.columns
+    found = {r["doc_id"] for r in secrets.secrets(df).select("doc_id").collect()}
+    for r in out.collect():
+        if r["doc_id"] in found:
+            assert planted[r["doc_id"]] not in r["text"] and r["text"].count(secrets.MASK) == 2 and r["n_chars"] == len(r["text"])
+        else:
+            assert r["text"] == data[r["doc_id"]][1] and r["n_chars"] == data[r["doc_id"]][4]
+
+
+def test_secrets_of_odd_rows(spark):
+    df = frame(spark)
+    out = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert out[100] is None and out[101] == ""
+    assert secrets.mask_secrets(df).count() == len(rows())
+    assert secrets.secrets(empty(spark)).collect() == [] and secrets.mask_secrets(empty(spark)).collect() == []
+
+
+def test_brute_force_agrees_with_the_limits(spark, leaky):
+    data, _ = leaky
+    df = frame(spark, data)
+    limits = secrets.discoveries(df)
+    tokens = {x for _, t, *_ in data for x in re.findall(secrets.PATTERN, t)}
+    hist = [[0] * secrets.BINS for _ in secrets.CLASSES], [list(x) for x in secrets.invented_words()]
+    for x in tokens:
+        mixed = bool(re.search("[0-9]", x) and re.search("[A-Za-z]", x))
+        if mixed or x.isalpha():
+            hist[0 if mixed else 1][secrets.length_class(len(x.rstrip("=")))][secrets.score_bin(secrets.battery(x)[1])] += 1
+    for k in range(len(secrets.CLASSES)):
+        p = [(1 + sum(hist[1][k][: b + 1])) / (1 + sum(hist[1][k])) for b in range(secrets.BINS)]
+        ranked = sorted(b for b in range(secrets.BINS) for _ in range(hist[0][k][b]))
+        best = max((b for i, b in enumerate(ranked, 1) if p[b] * len(ranked) <= secrets.FDR * sum(x <= b for x in ranked)), default=-1)
+        assert limits[k][0] == min(best, secrets.score_bin(-math.log10(secrets.LEVEL)))
+
+
