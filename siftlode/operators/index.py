@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import DEFAULT_TOKENIZER, Tokenizer
@@ -13,9 +15,13 @@ def analyze(docs: DataFrame, tokenizer: Tokenizer = DEFAULT_TOKENIZER, key: str
     return found.withColumn("dl", F.size("tokens").cast("long"))
 
 
-def postings(analyzed: DataFrame) -> DataFrame:
-    """(num_id, term, tf, dl): one row for each term of each document."""
-    return analyzed.select("num_id", "dl", F.explode("tokens").alias("term")).groupBy("num_id", "term", "dl").agg(F.count("*").alias("tf")).select("num_id", "term", "tf", "dl")
+def postings(analyzed: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """(num_id, term, tf, dl): one row for each term of each document.
+
+    With ``terms``, other tokens are dropped before there is a row for each: a filter behind an explode is not pushed below it.
+    """
+    found = F.col("tokens") if terms is None else F.filter("tokens", lambda t: t.isin(list(terms)))
+    return analyzed.select("num_id", "dl", F.explode(found).alias("term")).groupBy("num_id", "term", "dl").agg(F.count("*").alias("tf")).select("num_id", "term", "tf", "dl")
 
 
 def doc_lengths(analyzed: DataFrame) -> DataFrame:

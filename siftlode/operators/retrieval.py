@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scoring import B, K1, bm25, ordered_sum
+from .index import postings
 
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -77,6 +78,14 @@ def search(rows: DataFrame, lengths: DataFrame, terms: Sequence[str], limit: int
     return rank(live(hits, tombstones), wanted, df, n, total, limit, mode, k1, b)
 
 
+def search_documents(analyzed: DataFrame, terms: Sequence[str], limit: int | None = None, mode: str = "or", k1: float = K1, b: float = B, tombstones: DataFrame | None = None) -> DataFrame:
+    """A ranked search straight over analyzed documents (num_id, tokens, dl): one pass for all statistics, one for the hits."""
+    wanted = list(dict.fromkeys(terms))
+    held = [F.coalesce(F.sum(F.array_contains("tokens", t).cast("long")), F.lit(0)) for t in wanted]
+    n, total, *df = analyzed.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), *held).first()
+    return rank(live(postings(analyzed, wanted), tombstones), wanted, dict(zip(wanted, df, strict=True)), n, total, limit, mode, k1, b)
+
+
 def batch_search(rows: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int | None = 10, mode: str = "or", k1: float = K1, b: float = B, tombstones: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, num_id, score) for many queries (query_id, terms) at once.
 

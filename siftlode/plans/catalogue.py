@@ -51,7 +51,7 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str, min_len: int = 1):
         self.docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         self.analyzed = index.analyze(self.docs, UnicodeTokenizer(min_len))
-        seg = F.concat(F.lit("s"), (F.col("num_id") % 4).cast("string"))
+        self.seg = seg = F.concat(F.lit("s"), (F.col("num_id") % 4).cast("string"))
         self.lengths = index.doc_lengths(self.analyzed)
         self.segmented = self.lengths.withColumn("seg_id", seg)
         self.postings = index.postings(self.analyzed)
@@ -59,7 +59,7 @@ class Corpus:
         self.tombstones = self.docs.filter("doc_id % 10 = 3").select(F.col("doc_id").alias("num_id"), F.concat(F.lit("s"), ((F.col("doc_id") + 1) % 4).cast("string")).alias("seg_id"))
 
     def of(self, terms: Sequence[str]) -> DataFrame:
-        return self.rows.filter(F.col("term").isin(list(terms)))
+        return index.postings(self.analyzed, terms).withColumn("seg_id", self.seg)
 
 
 # text
@@ -249,7 +249,7 @@ def _search(name: str, text: str, limit: int | None = None, mode: str = "or", k1
     @query(name, _scored(terms, k1=k1, b=b, need=need, tail=tail))
     def _(spark, d):
         c = Corpus(spark, d)
-        return retrieval.search(c.postings, c.lengths, _terms(spark, text), limit, mode, k1, b).withColumn("score", F.round("score", 6))
+        return retrieval.search_documents(c.analyzed, _terms(spark, text), limit, mode, k1, b).withColumn("score", F.round("score", 6))
 
 
 _search("bm25_or", QUERY)
@@ -280,7 +280,7 @@ def _(spark, d):
 @query("bm25_stale_stats", _scored(QUERY.split(), hits="live"))
 def _(spark, d):
     c = Corpus(spark, d)
-    return retrieval.search(c.postings, c.lengths, _terms(spark, QUERY), tombstones=c.tombstones).withColumn("score", F.round("score", 6))
+    return retrieval.search_documents(c.analyzed, _terms(spark, QUERY), tombstones=c.tombstones).withColumn("score", F.round("score", 6))
 
 
 _LIVE_STATS = ", alive AS (SELECT count(*) AS n, CASE WHEN sum(dl) > 0 THEN sum(dl) / count(*) ELSE 1.0 END AS avgdl FROM docs WHERE num_id NOT IN (SELECT num_id FROM tomb))"
@@ -289,7 +289,7 @@ _LIVE_STATS = ", alive AS (SELECT count(*) AS n, CASE WHEN sum(dl) > 0 THEN sum(
 @query("bm25_after_compact", _LIVE_STATS + _scored(QUERY.split(), rows="live", stats="alive", hits="live"))
 def _(spark, d):
     c = Corpus(spark, d)
-    return retrieval.search(compaction.merge_rows(c.postings, c.tombstones), compaction.merge_rows(c.lengths, c.tombstones), _terms(spark, QUERY)).withColumn("score", F.round("score", 6))
+    return retrieval.search_documents(compaction.merge_rows(c.analyzed, c.tombstones), _terms(spark, QUERY)).withColumn("score", F.round("score", 6))
 
 
 # compaction

@@ -49,6 +49,14 @@ def test_search(relations, corpus, terms, mode):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-10)
 
 
+def test_search_without_an_index_agrees(spark, relations, corpus):
+    analyzed = index.analyze(spark.createDataFrame(corpus, "doc_id long, text string"))
+    for mode in ("or", "and"):
+        got = [tuple(r) for r in retrieval.search_documents(analyzed, ["ash", "bay", "nosuch" if mode == "or" else "ash"], 5, mode).collect()]
+        assert got == [tuple(r) for r in retrieval.search(*relations, ["ash", "bay", "nosuch" if mode == "or" else "ash"], 5, mode).collect()]
+    assert retrieval.search_documents(analyzed, []).collect() == []
+
+
 @pytest.mark.parametrize(("k1", "b"), [(0.0, 0.75), (1.2, 0.0), (1.2, 1.0)])
 def test_parameters(relations, corpus, k1, b):
     got = [r["num_id"] for r in retrieval.search(*relations, ["ash", "elm"], k1=k1, b=b).collect()]
