@@ -121,6 +121,16 @@ class Model:
         self.languages, self.idf = languages, idf
         self.weights, self.bias, self.temperature = np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages)), 1.0
 
+    def parts(self) -> tuple:
+        """The model as plain values, which executors can read without this package."""
+        return self.languages, self.idf, self.weights, self.bias, self.temperature
+
+    @staticmethod
+    def of(parts: tuple) -> Model:
+        model = object.__new__(Model)
+        model.languages, model.idf, model.weights, model.bias, model.temperature = parts
+        return model
+
     def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         x = tf * self.idf[at]
         norm = math.sqrt(float(x @ x))
@@ -187,11 +197,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
 
 
 def _predictor(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # features times languages, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # features times languages, whatever the corpus
 
     @F.pandas_udf("struct<lang string, confidence double>")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang", "confidence"])
+        held = Model.of(shared.value)
+        return pd.DataFrame([held.predict(x) for x in texts], columns=["lang", "confidence"])
 
     return predict(F.col("text").cast("string"))
 
