@@ -7,7 +7,7 @@ most significant digit first, and a group of one is finished at once:
 * the first digit of a suffix is the least hash of a short n-gram within its depth.  It is a function of the window's
   content, so equal windows share it, and neighbouring windows mostly do too: a run of them travels as one row, and one
   shuffle by this digit brings every possible group together;
-* the second digit (the first half of the window) and the third (the whole window) split the groups that are left.
+* the second digit (a hash of the whole window) splits the groups that are left.
 
 Tokens are runs of non-white-space characters, compared as written.  A window is identified by its first digit and 64 more
 bits of hash.

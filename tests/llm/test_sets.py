@@ -73,6 +73,15 @@ def test_any_boundary_gives_the_same_candidates(spark, x, rare, monkeypatch):
     assert set(pairs) == want
 
 
+def test_verification_can_be_divided(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TASK_PAIRS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
+    data = near_copies(5)
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark, data)).collect()}
+    want = set(brute_pairs(data, 2, 0.5))
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_join_of_odd_rows(spark):
     got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark)).collect()}
     assert (4, 105) in got and (4, 106) in got and (105, 106) in got
