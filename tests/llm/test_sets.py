@@ -73,6 +73,28 @@ def test_any_boundary_gives_the_same_candidates(spark, x, rare, monkeypatch):
     assert set(pairs) == want
 
 
+@pytest.mark.parametrize("x", [0, 20, 10**6])
+@pytest.mark.parametrize("rare", [0, 16])
+def test_two_shared_ngrams_make_a_candidate(spark, x, rare, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    _, sets = jaccard.distinct_sets(frame(spark, near_copies(4, 6, 15)), 2, jaccard.SKETCH)
+    pairs = [tuple(r) for r in jaccard.candidates(jaccard.ranked_sketches(sets, 0.5), 0.5, x, None).collect()]
+    assert len(pairs) == len(set(pairs))
+    sk = {r["rep"]: (r["size"], set(r["sketch"])) for r in sets.collect()}
+    fits = {(a, b) for a in sk for b in sk if a < b and 2 * sk[a][0] >= sk[b][0] and 2 * sk[b][0] >= sk[a][0]}
+    assert set(pairs) == {(a, b) for a, b in fits if len(sk[a][1] & sk[b][1]) >= min(2, math.ceil(max(sk[a][0], sk[b][0]) / 2))}
+
+
+def test_join_finds_pairs_just_above_the_threshold(spark):
+    data = []
+    for i in range(300):
+        w = [f"w{i}x{k}" for k in range(91)]  # 90 bigrams, of which 61 of 119 are shared
+        data += [(2 * i, " ".join(w), "aa", "s", 1), (2 * i + 1, " ".join(w[:62] + [f"v{i}x{k}" for k in range(29)]), "aa", "s", 1)]
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark, data)).collect()}
+    want = {(2 * i, 2 * i + 1) for i in range(300)}
+    assert got <= want and len(got) >= 298
+
+
 def test_verification_can_be_divided(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TASK_PAIRS", 7)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
