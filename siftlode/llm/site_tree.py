@@ -17,8 +17,8 @@ counts are shuffled.  The keys of removed nodes are broadcast if they are few; o
 them, and each page receives its own.
 
 Defined results: pages that are equal on one host count once in the statistics, and all are cleaned; a NULL html gives a NULL
-text; html without text gives an empty text; html and body are never removed as a whole; elements deeper than ``DEPTH`` are
-contents of their ancestor at that depth; scripts, styles and comments are no content; a NULL or malformed url belongs to
+text; html without text gives an empty text; html and body are never removed as a whole; elements nest as deep as the
+page has them; scripts, styles and comments are no content; a NULL or malformed url belongs to
 the host "" ; a host with one page loses nothing; unclosed and stray tags are repaired; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +39,6 @@ from .io import table
 
 GAMMA = 0.9
 THRESHOLD = 0.3
-DEPTH = 32
 #: Keys of removed nodes that are sent to every worker; with more of them, nodes meet in a shuffle.
 BROADCAST_NODES = 1_000_000
 _CLEAN_TYPE = T.StructType().add("text", T.StringType()).add("removed", T.LongType()).add("lost", T.LongType())
@@ -70,7 +69,7 @@ class Node:
 def parse(page: str) -> Node:
     """The element tree of a page, unclosed and stray tags repaired."""
     root = Node("#page", "#page")
-    stack, opened = [root], Counter()
+    stack, opened = [root], defaultdict(list)  # opened: the places in the stack of each tag's open elements
     at = 0
 
     def text(piece: str) -> None:
@@ -80,7 +79,7 @@ def parse(page: str) -> Node:
     def close(tag: str) -> None:
         while True:
             last = stack.pop()
-            opened[last.tag] -= 1
+            opened[last.tag].pop()
             if last.tag == tag:
                 return
 
@@ -92,21 +91,19 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[2] or m[5]:
-            if opened[tag] > 0:
+            if opened[tag]:
                 close(tag)
             continue
-        if tag in _BLOCK and opened["p"] > 0:
+        if tag in _BLOCK and opened["p"]:
             close("p")
         if tag in _ENDS:
             kinds, until = _ENDS[tag]
             kinds = kinds.split()
-            for node in reversed(stack[1:]):
-                if node.tag in until:
+            least = max((opened[x][-1] for x in until if opened[x]), default=0)
+            while (nearest := max((opened[x][-1] for x in kinds if opened[x]), default=0)) > least:
+                close(stack[nearest].tag)
+                if len(kinds) < 3:
                     break
-                if node.tag in kinds:
-                    close(node.tag)
-                    if len(kinds) < 3:
-                        break
         found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[4] or m[7] or "")}
         label = f"{tag}.{' '.join(sorted(found.get('class', '').split()))}#{found.get('id', '')}"
         node = Node(tag, label)
@@ -114,9 +111,9 @@ def parse(page: str) -> Node:
         target = found.get("href") if tag == "a" else found.get("src")
         if target:
             node.kids.append(Node(_LINK if tag == "a" else _MEDIA, _LINK if tag == "a" else _MEDIA, target))
-        if tag not in _VOID and len(stack) <= DEPTH:
+        if tag not in _VOID:
+            opened[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     text(page[at:])
     return root
 
@@ -233,10 +230,9 @@ def importance(shared: DataFrame, styles: DataFrame, gamma: float = GAMMA) -> Da
         inner = (F.coalesce("sum", F.lit(0.0)) + F.col("m") - F.coalesce("held", F.lit(0))) / F.col("m")
         below = table(here.join(sums, F.col("node") == F.col("owner"), "left").select("node", "parent", F.when(F.col("leaf"), F.col("own")).otherwise((1 - keep) * F.col("own") + keep * inner).alias("importance")))
         levels.append(below.select("node", "importance"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+    while len(levels) > 1:  # pages can be deep: unions of unions keep the plan flat
+        levels = [levels[i].unionByName(levels[i + 1]) if i + 1 < len(levels) else levels[i] for i in range(0, len(levels), 2)]
+    return levels[0]
 
 
 def _page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

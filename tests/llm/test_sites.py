@@ -40,6 +40,24 @@ def test_trees(page, shape):
     assert show(site_tree.parse(page)).removeprefix("#page") == shape
 
 
+def test_deep_elements_close_themselves():
+    keys = set()
+    for deep in (1, 20, 28):
+        page = "<div>" * 20 + "<div>" * deep + "x" + "</div>" * deep + "<footer>all rights</footer>" + "</div>" * 20 + "<nav>n</nav>"
+        root = site_tree.parse(page)
+        assert [k.tag for k in root.kids] == ["div", "nav"]
+        found = list(site_tree.nodes(root, "h"))
+        assert max(x[4] for x in found) == 20 + deep + 1
+        own = site_tree.item(site_tree.Node("#text", "#text", "all rights"), 0)
+        keys |= {x[0] for x in found if x[1] == own}
+    assert len(keys) == 1
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "<li></li>" * 20_000, "<li><ul>" + "<b>" * 20_000 + "<li></li>" * 20_000])
+def test_items_in_deep_pages_take_little_time(page):
+    test_hostile_pages_take_little_time(page)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<" * 50_000, "<a '" * 30_000, "</p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "<li>" * 20_000, "x" * 500_000, '<a b="' * 20_000])
 def test_hostile_pages_take_little_time(page):
     import time
