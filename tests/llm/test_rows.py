@@ -225,6 +225,17 @@ def test_masking(spark, leaky):
             assert r["text"] == data[r["doc_id"]][1] and r["n_chars"] == data[r["doc_id"]][4]
 
 
+@pytest.mark.parametrize(("chars", "least"), [(16, 0.55), (20, 0.7), (24, 0.85)])
+def test_most_short_secrets_are_found(spark, chars, least):
+    draw = random.Random(chars)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(draw.choices(alphabet, k=chars)) for _ in range(300)]
+    texts = [f"key {k} end" for k in keys] + [f"key {k[:15]} end" for k in keys] + ["key " + "".join(c for c in k * 2 if c.isalpha()) + " end" for k in keys]
+    got = {r["doc_id"] for r in secrets.secrets(frame(spark, [(i, t, "aa", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert max(got) < 300  # shorter keys, and those without a digit, are out of scope
+    assert len(got) >= least * 300
+
+
 def test_secrets_of_odd_rows(spark):
     df = frame(spark)
     out = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
