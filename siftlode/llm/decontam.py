@@ -99,12 +99,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, containment:
         hits = texts.mapInArrow(_shingles(n, None), _ROWS).join(words, "sh", "left_semi").select("id", "version", "pos", "sh")
     hits = table(hits.withColumnRenamed("id", "doc_id"))
     rarity = hits.groupBy("sh").agg(F.countDistinct("doc_id").alias("df"))
-    ranked = table(items.join(by_size(rarity, held), "sh", "left").withColumn("rank", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "sh"))))
+    ranked = table(items.join(by_size(rarity), "sh", "left").withColumn("rank", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "sh"))))
     listed = ranked.count()
     prefix = ranked.filter(F.col("rank") <= F.col("m") - F.col("c") + 1).select("sh", "item_id", "iv")
-    found = hits.join(by_size(prefix, listed), "sh").select("doc_id", "version", "item_id", "iv").distinct()
+    found = hits.join(by_size(prefix), "sh").select("doc_id", "version", "item_id", "iv").distinct()
     whole = ranked.select("sh", "item_id", "iv", "m", "c", "reach")
-    pairs = hits.join(by_size(whole, listed), "sh").join(found, ["doc_id", "version", "item_id", "iv"], "left_semi")
+    pairs = hits.join(by_size(whole), "sh").join(found, ["doc_id", "version", "item_id", "iv"], "left_semi")
     groups = (
         pairs.groupBy("doc_id", "version", "item_id", "iv")
         .agg(F.first("m").alias("m"), F.first("c").alias("c"), F.first("reach").alias("reach"), F.array_sort(F.collect_set(F.struct("pos", "sh"))).alias("hits"))

@@ -1,14 +1,19 @@
-"""Shared storage, size-checked broadcasts and small plan helpers for the corpus operators."""
+"""Shared storage, size-checked joins and small plan helpers for the corpus operators."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Rows of a keyed side that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a keyed side that may be broadcast, by its measured widths; larger sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: Copies of the smaller side of a shuffled join, so that the rows of one hot key are divided among as many tasks.
+SALTS = 16
+
+_made: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,17 +32,74 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back, so that its lineage ends there."""
+    """``df`` written once to the shared folder and read back, so that its lineage ends there; ``clean`` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftlode/{uuid.uuid4().hex}"
+    _made.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_size(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint while it holds at most ``most`` rows, else as it is (then the join shuffles)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+def clean(first: int = 0, last: int | None = None) -> None:
+    """Removes the tables numbered ``first`` to ``last`` of those written so far; at the end of the process, all of them."""
+    gone = _made[first:last]
+    del _made[first:last]
+    for jvm, conf, path in gone:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session has ended, and with it the way to its files
+            return
+
+
+def written() -> int:
+    """How many tables there are, for ``clean``."""
+    return len(_made)
+
+
+atexit.register(clean)
+
+
+def width(column: Column, kind: T.DataType) -> Column:
+    """The bytes of a value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(column, F.lit(0), lambda n, x: n + width(x, kind.elementType).cast("int")), F.lit(0)) + 16
+        return F.coalesce(F.greatest(F.size(column), F.lit(0)) * 8, F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        total = F.lit(8)
+        for f in kind.fields:
+            total = total + width(column[f.name], f.dataType)
+        return total
+    return F.lit(8)
+
+
+def held_bytes(df: DataFrame) -> int:
+    """The bytes of all rows, by one aggregation."""
+    total = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        total = total + width(df[f"`{f.name}`"], f.dataType)
+    return df.agg(F.sum(total)).first()[0] or 0
+
+
+def by_size(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint while its bytes are at most ``most``, else as it is (then the join shuffles)."""
+    return F.broadcast(df) if held_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined with ``small``, of at most one row for each key: broadcast where its bytes allow, else salted.
+
+    A key that holds a large part of ``rows`` is divided among ``SALTS`` tasks; ``small`` is copied as often.
+    """
+    if held_bytes(small) <= (BROADCAST_BYTES if most is None else most):
+        return rows.join(F.broadcast(small), keys, how)
+    salt = fresh("salt", [*rows.columns, *small.columns])
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys] or rows.columns), F.lit(SALTS)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def fresh(name: str, taken: list[str]) -> str:
