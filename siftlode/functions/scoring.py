@@ -24,8 +24,3 @@ def bm25(tf: Column, dl: Column, df: Column, total: Column, avgdl: Column, k1: f
     base = F.when(avgdl > 0, avgdl.cast("double")).otherwise(F.lit(1.0))
     norm = F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * dl.cast("double") / base)
     return F.when((tf == 0) | (df == 0), F.lit(0.0)).otherwise(idf(df, total) * tf * F.lit(k1 + 1.0) / (tf + norm))
-
-
-def ordered_sum(parts: Column) -> Column:
-    """The sum of an array of (pos, s) in the order of pos: the same bits however rows arrive."""
-    return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, x: a + x["s"])

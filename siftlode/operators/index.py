@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import DEFAULT_TOKENIZER, Tokenizer
 
@@ -57,18 +58,20 @@ def undeltas(gaps: DataFrame, order: str = "num_id") -> DataFrame:
     return gaps.select("term", "num_id", "tf", F.sum("delta").over(w).alias("restored"))
 
 
-def number_documents(docs: DataFrame, first: int = 0, key: str = "doc_id", out: str = "num_id", partitions: int | None = None) -> DataFrame:
-    """``docs`` with consecutive numbers from ``first`` in the order of ``key``.
+def number_documents(docs: DataFrame, folder: str, first: int = 0, key: str = "doc_id", out: str = "num_id", partitions: int | None = None) -> DataFrame:
+    """``docs`` with consecutive numbers from ``first`` in the order of ``key``, written to ``folder`` on the way.
 
-    Keys are range-partitioned, numbered within their partition and shifted by the sizes of the partitions before, so that
-    no single task sees all rows.
+    Rows are range-partitioned, sorted and written with their partition and place once: a range partitioning that is planned
+    twice draws two samples and may place a row differently.  A row's number is its place, shifted by the sizes of the
+    partitions before; only these sizes, one for each partition, are broadcast, so no task sees all rows.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = docs.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
-    within = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    return within.join(F.broadcast(shift), F.col("_part") == F.col("_of")).withColumn(out, (F.lit(first) + F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_of", "_before")
+    docs.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+    held = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField("_at", LongType())])).parquet(folder)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("_of")).agg(F.count("*").alias("_n"))
+    shift = sizes.select("_of", (F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(shift), part == F.col("_of")).withColumn(out, (F.lit(first) + F.col("_before") + place).cast("long")).drop("_at", "_of", "_before")
 
 
 def replay_names(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:

@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.scoring import B, K1, bm25, ordered_sum
+from ..functions.scoring import B, K1, bm25
 from .index import postings
 
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Distinct terms of many queries that are a filter of the scan; beyond them postings and terms are joined.
+FILTER_TERMS = 20_000
+#: Units of a fixed-point score.
+FIXED = float(1 << 40)
 
 
 def by_size(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -86,24 +90,32 @@ def search_documents(analyzed: DataFrame, terms: Sequence[str], limit: int | Non
     return rank(live(postings(analyzed, wanted), tombstones), wanted, dict(zip(wanted, df, strict=True)), n, total, limit, mode, k1, b)
 
 
-def batch_search(rows: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int | None = 10, mode: str = "or", k1: float = K1, b: float = B, tombstones: DataFrame | None = None) -> DataFrame:
+def batch_search(rows: DataFrame, lengths: DataFrame | None, queries: DataFrame, limit: int | None = 10, mode: str = "or", k1: float = K1, b: float = B, tombstones: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, rank, num_id, score) for many queries (query_id, terms) at once.
 
-    One join of postings and query terms replaces a scan for each query; top documents come from a window whose limit
-    Catalyst pushes below the shuffle.
+    One join of postings and query terms replaces a scan for each query; terms of a bounded number go to the scan as a
+    filter, which skips row groups of sorted postings.  Scores are summed as fixed-point numbers, so that ties are exact in
+    any order and sums are partial before the shuffle; top documents come from a window whose limit Catalyst pushes below it.
+    ``totals``: documents and their summed length where they are known.
     """
-    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    wanted = queries.select("query_id", F.posexplode(F.array_distinct("terms")).alias("pos", "term"), F.size(F.array_distinct("terms")).alias("asked"))
+    n, total = totals or lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("asked"))
     distinct = wanted.select("term").distinct()
-    known = distinct.count()
-    hits = rows.join(by_size(distinct, known), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    known = [r["term"] for r in distinct.limit(FILTER_TERMS + 1).collect()]
+    if len(known) <= FILTER_TERMS:
+        hits = rows.filter(F.col("term").isin(known)) if known else rows.limit(0)
+        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
+        wanted = by_size(wanted)
+    else:
+        held = distinct.count()
+        hits = rows.join(by_size(distinct, held), "term")
+        df, wanted = by_size(hits.groupBy("term").agg(F.count("*").alias("df")), held), by_size(wanted)
     part = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.lit(n), F.lit(total / n if total and n else 1.0), k1, b)
-    scored = live(hits, tombstones).join(by_size(df, known), "term").select("term", "num_id", part.alias("s"))
-    both = scored.join(by_size(wanted, known), "term").groupBy("query_id", "num_id", "asked").agg(F.collect_list(F.struct("pos", "s")).alias("parts"))
+    scored = live(hits, tombstones).join(df, "term").select("term", "num_id", F.round(part * FIXED).cast("long").alias("s"))
+    both = scored.join(wanted, "term").groupBy("query_id", "num_id", "asked").agg(F.count("*").alias("matched"), F.sum("s").alias("sum"))
     if mode == "and":
-        both = both.filter(F.size("parts") == F.col("asked"))
-    out = both.select("query_id", "num_id", ordered_sum(F.col("parts")).alias("score")).filter("score > 0")
+        both = both.filter(F.col("matched") == F.col("asked"))
+    out = both.filter("sum > 0").select("query_id", "num_id", (F.col("sum") / FIXED).alias("score"))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "num_id")).cast("long"))
     return ranked.filter(F.col("rank") <= limit) if limit and limit > 0 else ranked
 

@@ -1,13 +1,14 @@
 """Every query of the search engine, by name, with the SQL that checks it.
 
 All run over whole tables.  Where segments and deletions are needed, a document's segment is its number modulo 4, and those
-whose number ends in 3 are deleted; a deletion is recorded in the segment after the document's.
+whose number ends in 3 are deleted.  The relational operators take these as columns, a deletion being recorded in the segment
+after the document's; the ``index_`` and segment queries build an index of four segments, and a fifth of the deletions.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,7 +25,6 @@ SQL: dict[str, str] = {}
 QUERY = "the of une para"
 BOTH = "the and"
 TERM = "the"
-TIERS = (0, 0, 0, 0, 0, 1, 1, 1, 2)
 
 _WORDS = r"""words AS (SELECT doc_id AS num_id, coalesce(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{M}\p{N}]+'), []) AS w FROM documents),
 docs AS (SELECT num_id, CAST(len(w) AS BIGINT) AS dl, 's' || (num_id % 4) AS seg_id FROM words),
@@ -45,6 +45,40 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared folder; a temporary one only in a local session without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="siftlode-index-")
+
+
+_built: dict[tuple[str, str, bool], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, merged: bool = False) -> Index:
+    """An index of all documents in four segments, then one of the deletions; ``merged``: compacted.
+
+    It is built once for each session and opened, its checksums verified, each time.  The caller closes it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, merged)
+    if key not in _built:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        folder = _folder(spark)
+        with Index.open(spark, folder, fanout=99) as x:
+            for i in range(4):
+                x.add_many(docs.filter(F.col("doc_id") % 4 == i))
+            x.remove_many(docs.filter("doc_id % 10 = 3"))
+            if merged:
+                x.compact()
+        _built[key] = folder
+    return Index.open(spark, _built[key], fanout=99)
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 class Corpus:
     """The relations of the index over one folder of tables."""
 
@@ -83,10 +117,18 @@ query("term_freq", "SELECT num_id, term, tf FROM post")(lambda spark, d: Corpus(
 query("doc_lengths", "SELECT num_id, dl FROM docs")(lambda spark, d: Corpus(spark, d).lengths)
 query("term_dictionary", "SELECT term, count(*) AS df FROM post GROUP BY term")(lambda spark, d: index.dictionary(Corpus(spark, d).postings).orderBy("term"))
 query("corpus_stats", "SELECT n AS total_docs, CAST(total AS BIGINT) AS total_len, round(avgdl, 6) AS avgdl FROM stats")(lambda spark, d: index.corpus_stats(Corpus(spark, d).lengths).withColumn("avgdl", F.round("avgdl", 6)))
-query("seg_scan", "SELECT term, num_id, tf, dl, seg_id FROM post WHERE seg_id IN ('s0', 's2')")(lambda spark, d: Corpus(spark, d).rows.filter("seg_id IN ('s0', 's2')").select("term", "num_id", "tf", "dl", "seg_id"))
+
+
+@query("seg_scan", "SELECT term, num_id AS doc_id, tf, dl, CASE seg_id WHEN 's0' THEN '000000' ELSE '000002' END AS seg_id FROM post WHERE seg_id IN ('s0', 's2')")
+def _(spark, d):
+    with built(spark, d) as x:
+        rows, names = (x.table(t).filter("seg_id IN ('000000', '000002')") for t in ("postings", "names"))
+        return rows.join(names.select("num_id", "doc_id"), "num_id").select("term", F.col("doc_id").cast("long").alias("doc_id"), "tf", "dl", "seg_id")
+
+
 query("term_postings", f"SELECT num_id, tf FROM post WHERE term = '{TERM}'")(lambda spark, d: Corpus(spark, d).of([TERM]).select("num_id", "tf").orderBy("num_id"))
 query("term_postings_packed", "SELECT term, list(num_id ORDER BY num_id) AS doc_ids, list(tf ORDER BY num_id) AS tfs FROM post GROUP BY term")(lambda spark, d: index.packed(Corpus(spark, d).postings))
-query("docid_alloc", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) + 99 AS BIGINT) AS num_id FROM documents")(lambda spark, d: index.number_documents(Corpus(spark, d).docs.select("doc_id"), 100))
+query("docid_alloc", "SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) + 99 AS BIGINT) AS num_id FROM documents")(lambda spark, d: index.number_documents(Corpus(spark, d).docs.select("doc_id", "text"), _folder(spark), 100))
 
 _LOG = """, log AS (SELECT num_id * 2 AS seq, 'add' AS op, source AS doc_id, num_id FROM (SELECT doc_id AS num_id, source FROM documents)
 UNION ALL SELECT doc_id * 2 + 1, 'rm', source, doc_id FROM documents WHERE doc_id % 7 = 0)"""
@@ -129,10 +171,11 @@ def _(spark, d):
     return asked.join(Corpus(spark, d).lengths, "num_id", "left").select("num_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
-@query("tombstone_check", "SELECT docs.num_id, docs.num_id IN (SELECT num_id FROM tomb) AS deleted FROM docs")
+@query("tombstone_check", "SELECT num_id AS doc_id, num_id % 10 = 3 AS deleted FROM docs")
 def _(spark, d):
-    c = Corpus(spark, d)
-    return c.lengths.join(c.tombstones.select("num_id", F.lit(True).alias("hit")), "num_id", "left").select("num_id", F.coalesce("hit", F.lit(False)).alias("deleted"))
+    with built(spark, d) as x:
+        dead = x.table("tombstones").select("num_id", F.lit(True).alias("hit"))
+        return x.table("names").join(dead, "num_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("hit", F.lit(False)).alias("deleted"))
 
 
 query("postings_seek", f"SELECT num_id, tf FROM post WHERE term = '{TERM}' AND num_id >= 100")(lambda spark, d: retrieval.seek(Corpus(spark, d).rows, TERM, 100))
@@ -158,43 +201,31 @@ def _(spark, d):
     return retrieval.live(c.of([TERM]), c.tombstones).select("num_id", "dl")
 
 
-@query("upsert_visible", ", new AS (SELECT conv_id, turn, text FROM conversations WHERE turn = 0) SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM new) UNION ALL SELECT conv_id, min(text) FROM new GROUP BY conv_id")
+@query("upsert_visible", ", new AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) AS text FROM conversations GROUP BY conv_id) SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM new) UNION ALL SELECT conv_id, text FROM new")
 def _(spark, d):
     docs = Corpus(spark, d).docs.select("doc_id", "text")
-    new = spark.read.parquet(f"{d}/conversations.parquet").filter("turn = 0").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("text").alias("text"))
+    new = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max_by(F.coalesce("text", F.lit("")), "turn").alias("text"))
     return docs.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
-@query(
-    "segment_stats",
-    """, d AS (SELECT seg_id, count(*) AS docs, sum(dl) AS total_len FROM docs GROUP BY seg_id), p AS (SELECT seg_id, count(*) AS postings, count(DISTINCT term) AS terms FROM post GROUP BY seg_id),
-t AS (SELECT seg_id, count(*) AS tombstones FROM tomb GROUP BY seg_id)
-SELECT seg_id, docs, CAST(total_len AS BIGINT) AS total_len, coalesce(postings, 0) AS postings, coalesce(terms, 0) AS terms, coalesce(tombstones, 0) AS tombstones FROM d LEFT JOIN p USING (seg_id) LEFT JOIN t USING (seg_id)""",
-)
-def segment_stats(spark, d):
-    c = Corpus(spark, d)
-    held = c.segmented.groupBy("seg_id").agg(F.count("*").alias("docs"), F.sum("dl").alias("total_len"))
-    listed = c.rows.groupBy("seg_id").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
-    dead = c.tombstones.groupBy("seg_id").agg(F.count("*").alias("tombstones"))
-    return held.join(listed, "seg_id", "left").join(dead, "seg_id", "left").na.fill(0, ["postings", "terms", "tombstones"])
+_SEGMENTS = """, p AS (SELECT seg_id, count(*) AS postings, count(DISTINCT term) AS terms FROM post GROUP BY seg_id),
+d AS (SELECT seg_id, count(*) AS docs, CAST(sum(dl) AS BIGINT) AS total_len FROM docs GROUP BY seg_id)
+SELECT '00000' || seg_id[2:] AS seg_id, docs, total_len, coalesce(postings, 0) AS postings, coalesce(terms, 0) AS terms, CAST(0 AS BIGINT) AS tombstones, CAST(0 AS BIGINT) AS tier FROM d LEFT JOIN p USING (seg_id)
+UNION ALL SELECT '000004', 0, 0, 0, 0, count(*), 0 FROM tomb HAVING count(*) > 0"""
 
 
-@query("manifest_segments", "SELECT seg_id, count(*) AS docs, CAST(sum(dl) AS BIGINT) AS total_len, CAST(0 AS BIGINT) AS tier FROM docs GROUP BY seg_id")
+@query("segment_stats", _SEGMENTS)
 def _(spark, d):
-    return Corpus(spark, d).segmented.groupBy("seg_id").agg(F.count("*").alias("docs"), F.sum("dl").alias("total_len")).withColumn("tier", F.lit(0).cast("long"))
+    with built(spark, d) as x:
+        held = [x.table(t).groupBy("seg_id").agg(*a) for t, a in (("docs", [F.count("*").alias("docs"), F.sum("dl").alias("total_len")]), ("postings", [F.count("*").alias("postings"), F.countDistinct("term").alias("terms")]), ("tombstones", [F.count("*").alias("tombstones")]))]
+        names = ["docs", "total_len", "postings", "terms", "tombstones"]
+        return held[0].join(held[1], "seg_id", "outer").join(held[2], "seg_id", "outer").na.fill(0, names).select("seg_id", *names, F.lit(0).cast("long").alias("tier"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for an index in the shared folder; a temporary one only in a local session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and not named.startswith(("file:", "/")):
-        raise ValueError("an index keeps its manifest on a file system that the driver can reach")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "/" + named.removeprefix("file:").lstrip("/") if named else None
-    if where:
-        os.makedirs(where, exist_ok=True)
-    return tempfile.mkdtemp(prefix="siftlode-index-", dir=where)
+@query("manifest_segments", _SEGMENTS)
+def _(spark, d):
+    with built(spark, d) as x:
+        return spark.createDataFrame([(s.id, s.docs, s.total_len, s.postings, s.terms, s.deletes, s.tier) for s in x.manifest.segments], "seg_id string, docs long, total_len long, postings long, terms long, tombstones long, tier long")
 
 
 @query("flush_segments", "SELECT seg_id, count(*) AS docs, CAST(sum(dl) AS BIGINT) AS total_len FROM (SELECT '00000' || (num_id % 2) AS seg_id, dl FROM docs) GROUP BY seg_id")
@@ -211,8 +242,8 @@ def _(spark, d):
     docs = Corpus(spark, d).docs
     with Index.open(spark, _folder(spark), fanout=4) as x:
         for i in range(4):
-            x.add_many(docs.filter(F.col("doc_id") % 4 == i), batch=i)
-            x.add_many(docs.filter(F.col("doc_id") % 4 == i), batch=i)
+            x.add_many(docs.filter(F.col("doc_id") % 4 == i), batch=i // 2, stream=f"s{i % 2}")
+            x.add_many(docs.filter(F.col("doc_id") % 4 == i), batch=i // 2, stream=f"s{i % 2}")
         m = x.manifest
         return spark.createDataFrame([(m.total_docs, m.total_len, len(m.segments), max(s.tier for s in m.segments))], "docs long, total_len long, segments long, tier long")
 
@@ -315,9 +346,24 @@ def _(spark, d):
     return index.corpus_stats(compaction.merge_rows(c.lengths, c.tombstones)).select("total_docs", "total_len")
 
 
-_TIERS = "SELECT tier, count(*) AS segments FROM (SELECT unnest([{}]) AS tier) GROUP BY tier"
-query("tier_histogram", _TIERS.format(", ".join(map(str, TIERS))))(lambda spark, d: spark.createDataFrame([(t,) for t in TIERS], "tier int").groupBy("tier").agg(F.count("*").alias("segments")))
-query("tier_cascade", "SELECT CAST(x AS BIGINT) AS tier, y AS segments FROM (VALUES (0, 1), (2, 2)) v(x, y)")(lambda spark, d: spark.createDataFrame(list(compaction.tier_histogram(compaction.cascade(TIERS)[0]).items()), "tier long, segments long"))
+
+def _tiers(parts: int):
+    """The tiers of an index with a fan-out of two to which the documents come in so many parts."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = Corpus(spark, d).docs
+        with Index.open(spark, _folder(spark), fanout=2) as x:
+            for i in range(parts):
+                x.add_many(docs.filter(F.col("doc_id") % parts == i))
+            held = spark.createDataFrame([(s.tier, s.docs, s.total_len) for s in x.manifest.segments], "tier long, docs long, total_len long")
+        return held.groupBy("tier").agg(F.count("*").alias("segments"), F.sum("docs").alias("docs"), F.sum("total_len").alias("total_len"))
+
+    return run
+
+
+_TIERS = "SELECT CAST({} AS BIGINT) AS tier, CAST(1 AS BIGINT) AS segments, count(*) AS docs, CAST(sum(dl) AS BIGINT) AS total_len FROM docs GROUP BY tier"
+query("tier_histogram", _TIERS.format("CASE WHEN num_id % 3 = 2 THEN 0 ELSE 1 END"))(_tiers(3))
+query("tier_cascade", _TIERS.format("2"))(_tiers(4))
 
 
 @query(
@@ -366,3 +412,47 @@ def _(spark, d):
     analyzed = index.analyze(spark.read.parquet(f"{d}/part.parquet"), key="p_partkey", text="p_name")
     first = analyzed.orderBy("num_id").first()
     return retrieval.search(index.postings(analyzed), index.doc_lengths(analyzed), first["tokens"] if first else []).withColumn("score", F.round("score", 6))
+
+
+# the index itself
+
+_NAMED = "SELECT num_id AS doc_id, score FROM ({}) {}"
+_BEST = "ORDER BY score DESC, doc_id % 4, CAST(doc_id AS VARCHAR) LIMIT 10"
+
+
+def _ranked(name: str, sql: str, text: str, limit: int | None = None, mode: str = "or", merged: bool = False) -> None:
+    with_, _, select = sql.rpartition(" SELECT num_id, score FROM scored")
+
+    @query(name, f"{with_} {_NAMED.format('SELECT num_id, score FROM scored', _BEST if limit else '')}")
+    def _(spark, d):
+        with built(spark, d, merged) as x:
+            return _long(x.search(text, limit, mode)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_ranked("index_search", _scored(QUERY.split(), hits="live"), QUERY)
+_ranked("index_search_and", _scored(BOTH.split(), hits="live", need=2), BOTH, mode="and")
+_ranked("index_search_topk", _scored(QUERY.split(), hits="live"), QUERY, limit=10)
+_ranked("index_after_compact", _LIVE_STATS + _scored(QUERY.split(), rows="live", stats="alive", hits="live"), QUERY, merged=True)
+
+
+@query("index_after_remove", "SELECT num_id AS doc_id, tf, dl FROM live WHERE term = 'the'")
+def _(spark, d):
+    with built(spark, d) as x:
+        rows = retrieval.live(x.table("postings").filter(F.col("term") == TERM), x.table("tombstones"))
+        return _long(rows.join(x.table("names").select("num_id", "doc_id"), "num_id")).select("doc_id", "tf", "dl")
+
+
+@query("index_reopen", "SELECT num_id AS doc_id, dl FROM docs WHERE num_id % 10 <> 3")
+def _(spark, d):
+    with built(spark, d) as x:
+        return _long(x.names().join(x.table("docs").select("num_id", "dl"), "num_id")).select("doc_id", "dl")
+
+
+@query(
+    "index_batch_search",
+    _BATCH.replace("post JOIN asked", "live JOIN asked").replace("ORDER BY round(score, 9) DESC, num_id", "ORDER BY round(score, 9) DESC, num_id % 4, CAST(num_id AS VARCHAR)").replace("rank, num_id, round", "rank, num_id AS doc_id, round"),
+)
+def _(spark, d):
+    with built(spark, d) as x:
+        asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        return _long(x.batch_search(asked)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))

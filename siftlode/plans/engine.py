@@ -13,10 +13,12 @@ from ..functions.scoring import B, K1
 from ..functions.text import DEFAULT_TOKENIZER, Tokenizer, query_terms
 from ..operators import compaction, index, retrieval
 from ..sources import manifest as meta, segments
-from ..sources.blobs import FsBackend
+from ..sources.blobs import StorageBackend, backend_for
 from ..sources.manifest import Manifest, SegmentEntry
 
 FLUSH_THRESHOLD = 1000
+#: Bytes of text that make one posting, for the number of files.
+POSTING_BYTES = 8
 
 
 class Index:
@@ -30,21 +32,24 @@ class Index:
     the statistics (N, average length, df) but never appear in results.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tokenizer: Tokenizer, flush_threshold: int, fanout: int, k1: float, b: float, before_manifest: Callable[[], None] | None):
+    def __init__(self, spark: SparkSession, folder: str, tokenizer: Tokenizer, flush_threshold: int, fanout: int, k1: float, b: float, before_manifest: Callable[[], None] | None, backend: StorageBackend | None = None):
         if flush_threshold < 1 or fanout < 2:
             raise ValueError("flush_threshold must be 1 or more and fanout 2 or more")
         self.spark, self.folder, self.tokenizer = spark, str(folder), tokenizer
         self.flush_threshold, self.fanout, self.k1, self.b = flush_threshold, fanout, k1, b
-        self.backend = FsBackend(folder)
+        self.backend = backend or backend_for(spark, folder)
         self._before, self._mutex, self._lock = before_manifest, threading.RLock(), meta.Lock(self.backend)
         self._buffer: dict[str, str] = {}
         self._removed: set[str] = set()
         self.manifest = Manifest(tokenizer=(tokenizer.kind, tokenizer.min_len))
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, tokenizer: Tokenizer = DEFAULT_TOKENIZER, flush_threshold: int = FLUSH_THRESHOLD, fanout: int = compaction.FANOUT, k1: float = K1, b: float = B, before_manifest: Callable[[], None] | None = None, verify: bool = True) -> Index:
-        """The index of a folder, made if there is none; one process at a time."""
-        self = cls(spark, folder, tokenizer, flush_threshold, fanout, k1, b, before_manifest)
+    def open(cls, spark: SparkSession, folder: str, tokenizer: Tokenizer = DEFAULT_TOKENIZER, flush_threshold: int = FLUSH_THRESHOLD, fanout: int = compaction.FANOUT, k1: float = K1, b: float = B, before_manifest: Callable[[], None] | None = None, verify: bool = True, backend: StorageBackend | None = None) -> Index:
+        """The index of a folder (a path or a URI), made if there is none; one process at a time.
+
+        ``backend`` keeps the manifest and the lock, in the same folder by default; ``verify`` checks every segment's checksums.
+        """
+        self = cls(spark, folder, tokenizer, flush_threshold, fanout, k1, b, before_manifest, backend)
         self._lock.acquire()
         try:
             held = meta.load(self.backend)
@@ -52,9 +57,8 @@ class Index:
                 if tuple(held.tokenizer) != self.manifest.tokenizer:
                     raise TokenizerMismatchError(str(held.tokenizer), str(self.manifest.tokenizer))
                 self.manifest = held
-                if verify:
-                    for entry in held.segments:
-                        segments.verify(spark, self.folder, entry)
+                if verify and held.segments:
+                    segments.verify(spark, self.folder, held.segments)
             self.recover()
         except BaseException:
             self._lock.release()
@@ -86,9 +90,15 @@ class Index:
         return len(self._buffer)
 
     def estimated_bytes(self) -> int:
-        """What the live segments would take in memory, buffers and names included."""
+        """What the index would take in memory: postings, lengths, deletions, dictionaries, the buffer's terms, and both maps of names."""
         s = self.manifest.segments
-        return sum(2 * x.postings + 168 * x.docs + 4 * x.deletes for x in s) + 64 * sum(map(len, self._buffer.values())) + 40 * len(self._removed)
+        held = sum(x.postings_bytes + 8 * x.docs + 4 * x.deletes + 80 * x.terms for x in s)
+        waiting = [self._buffer[k] for k in self._buffer]
+        terms = 0
+        if waiting:
+            texts = self.spark.createDataFrame([(t,) for t in waiting], "text string")
+            terms = texts.agg(F.sum(F.size(F.array_distinct(self.tokenizer.column(F.col("text")))))).first()[0] or 0
+        return held + 64 * terms + 40 * len(self._removed) + 160 * sum(x.docs for x in s)
 
     def table(self, name: str) -> DataFrame:
         """The postings, docs or tombstones of the live segments, as of now."""
@@ -116,18 +126,21 @@ class Index:
             self._buffer.pop(doc_id, None)
             self._removed.add(doc_id)
 
-    def add_many(self, docs: DataFrame, batch: int | None = None, key: str = "doc_id", text: str = "text") -> None:
-        """Adds the documents of a DataFrame as one segment; of several rows of one name one stays, that of the last text.
+    def add_many(self, docs: DataFrame, batch: int | None = None, stream: str = "", key: str = "doc_id", text: str = "text", order: str | None = None) -> None:
+        """Adds the documents of a DataFrame as one segment; of several rows of one name the last stays.
 
-        Nothing passes through the driver.  A batch number that the manifest has seen is skipped, so that a replayed
+        The last is the one of the greatest ``order``, or without that column the one that comes last in the DataFrame.
+        Nothing passes through the driver.  A batch of a stream that the manifest has seen is skipped, so that a replayed
         micro-batch changes nothing.
         """
         with self._mutex:
-            if batch is not None and batch in self.manifest.batches:
+            if batch is not None and batch <= dict(self.manifest.batches).get(stream, -1):
                 return
             self.flush()
-            given = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-            self._write(index.number_documents(given.groupBy("doc_id").agg(F.max("text").alias("text")), self.manifest.next_num), None, batch)
+            at = F.monotonically_increasing_id() if order is None else F.col(order)
+            given = docs.select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), at.alias("at")).filter("doc_id IS NOT NULL")
+            last = given.groupBy("doc_id").agg(F.max_by("text", "at").alias("text"))
+            self._write(index.number_documents(last, f"{self._staging()}/numbered", self.manifest.next_num), None, None if batch is None else (stream, batch))
             self._cascade()
 
     def remove_many(self, doc_ids: DataFrame, key: str = "doc_id") -> None:
@@ -148,27 +161,29 @@ class Index:
             self._write(docs, removed, None)
             self._buffer, self._removed = {}, set()
 
-    def _write(self, docs: DataFrame, removed: DataFrame | None, batch: int | None) -> None:
+    def _staging(self) -> str:
+        return f"{self.folder}/staging/{self.manifest.next_segment:06d}"
+
+    def _write(self, rows: DataFrame, removed: DataFrame | None, batch: tuple[str, int] | None) -> None:
         """One segment of numbered documents, and the deletion of their earlier versions and of what was removed."""
         seg = f"{self.manifest.next_segment:06d}"
-        staged = f"{self.folder}/staging/{seg}"
-        docs.write.mode("overwrite").parquet(staged)
-        rows = self.spark.read.schema("doc_id string, text string, num_id long").parquet(staged)
         named = rows.select("doc_id") if removed is None else rows.select("doc_id").unionByName(removed)
         dead = self.names().join(named.distinct(), "doc_id", "left_semi").select("num_id")
         analyzed = index.analyze(rows, self.tokenizer, key="num_id")
-        n, total, held, deletes = segments.write_segment(self.folder, seg, index.postings(analyzed), index.doc_lengths(analyzed), rows, dead)
-        if n or deletes:
-            self._commit((*self.manifest.segments, SegmentEntry(seg, n, total, 0, held, deletes)), n, batch)
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        entry = segments.write_segment(self.spark, self.folder, seg, index.postings(analyzed), index.doc_lengths(analyzed), rows, dead, size // POSTING_BYTES)
+        if entry.docs or entry.deletes:
+            self._commit((*self.manifest.segments, entry), entry.docs, batch)
         else:
-            segments.drop_segment(self.folder, seg)
-        segments.shutil.rmtree(staged, ignore_errors=True)
+            segments.drop_segment(self.spark, self.folder, seg)
+        segments.remove(self.spark, f"{self.folder}/staging")
 
-    def _commit(self, entries: tuple[SegmentEntry, ...], docs: int = 0, batch: int | None = None) -> None:
+    def _commit(self, entries: tuple[SegmentEntry, ...], docs: int = 0, batch: tuple[str, int] | None = None) -> None:
         if self._before:
             self._before()
         old = self.manifest
-        new = replace(old, generation=old.generation + 1, segments=entries, next_segment=old.next_segment + 1, next_num=old.next_num + docs, batches=old.batches if batch is None else (*old.batches, batch))
+        batches = old.batches if batch is None else tuple((dict(old.batches) | dict([batch])).items())
+        new = replace(old, generation=old.generation + 1, segments=entries, next_segment=old.next_segment + 1, next_num=old.next_num + docs, batches=batches)
         self.backend.write(meta.MANIFEST, new.dump())
         self.manifest = new
 
@@ -193,18 +208,18 @@ class Index:
         whole = len(ids) == len(old)
         rest = read("tombstones").limit(0) if whole else compaction.unresolved(dead, read("docs"))
         seg = f"{self.manifest.next_segment:06d}"
-        n, total, rows, deletes = segments.write_segment(self.folder, seg, compaction.merge_rows(read("postings"), dead), compaction.merge_rows(read("docs"), dead), compaction.merge_rows(read("names"), dead), rest, sum(s.postings for s in chosen))
+        entry = segments.write_segment(self.spark, self.folder, seg, compaction.merge_rows(read("postings"), dead), compaction.merge_rows(read("docs"), dead), compaction.merge_rows(read("names"), dead), rest, sum(s.postings for s in chosen))
         gone = set(positions)
-        self._commit((SegmentEntry(seg, n, total, tier, rows, deletes), *(s for i, s in enumerate(old) if i not in gone)))
+        self._commit((replace(entry, tier=tier), *(s for i, s in enumerate(old) if i not in gone)))
 
     def recover(self) -> None:
         """Deletes temporary blobs and files of segments that no commit ever named."""
         for name in self.backend.names():
             if name.endswith(".tmp"):
                 self.backend.delete(name)
-        for seg in segments.on_disk(self.folder) - set(self.seg_ids):
-            segments.drop_segment(self.folder, seg)
-        segments.shutil.rmtree(f"{self.folder}/staging", ignore_errors=True)
+        for seg in segments.on_disk(self.spark, self.folder) - set(self.seg_ids):
+            segments.drop_segment(self.spark, self.folder, seg)
+        segments.remove(self.spark, f"{self.folder}/staging")
 
     vacuum = recover
 
@@ -226,7 +241,7 @@ class Index:
     def batch_search(self, queries: DataFrame, limit: int | None = 10, mode: str = "or") -> DataFrame:
         """(query_id, rank, doc_id, score) for (query_id, query)."""
         asked = queries.select("query_id", self.tokenizer.column(F.col("query")).alias("terms"))
-        found = retrieval.batch_search(self.table("postings").drop("seg_id"), self.table("docs"), asked, limit, mode, self.k1, self.b, self._dead())
+        found = retrieval.batch_search(self.table("postings").drop("seg_id"), None, asked, limit, mode, self.k1, self.b, self._dead(), (self.manifest.total_docs, self.manifest.total_len))
         return self._visible(self.table("names").join(found, "num_id")).select("query_id", "rank", "doc_id", "score")
 
     def _dead(self) -> DataFrame | None:

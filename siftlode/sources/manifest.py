@@ -5,18 +5,22 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import socket
 
 from ..errors import IndexLockedError, ManifestCorruptionError, ManifestVersionError
-from .blobs import FsBackend, StorageBackend
+from .blobs import StorageBackend
 
-VERSION = 1
+VERSION = 2
 MANIFEST = "manifest.json"
 LOCK = ".lock"
 
 
 @dataclasses.dataclass(frozen=True)
 class SegmentEntry:
-    """One live segment; ``docs`` and ``total_len`` count what it was written with."""
+    """One live segment; ``docs`` and ``total_len`` count what it was written with.
+
+    ``checks``: a checksum for each table.  ``terms`` and ``postings_bytes``: distinct terms, and the size of the postings' files.
+    """
 
     id: str
     docs: int
@@ -24,6 +28,9 @@ class SegmentEntry:
     tier: int
     postings: int = 0
     deletes: int = 0
+    terms: int = 0
+    postings_bytes: int = 0
+    checks: tuple[int, ...] = ()
 
 
 @dataclasses.dataclass(frozen=True)
@@ -33,7 +40,8 @@ class Manifest:
     tokenizer: tuple[str, int] = ("unicode", 1)
     next_segment: int = 0
     next_num: int = 0
-    batches: tuple[int, ...] = ()
+    #: The last batch of each stream.
+    batches: tuple[tuple[str, int], ...] = ()
 
     @property
     def total_docs(self) -> int:
@@ -62,7 +70,7 @@ def load(backend: StorageBackend) -> Manifest | None:
     if held.get("version") != VERSION:
         raise ManifestVersionError(held.get("version"), VERSION)
     try:
-        return Manifest(int(held["generation"]), tuple(SegmentEntry(**s) for s in held["segments"]), tuple(held["tokenizer"]), int(held["next_segment"]), int(held["next_num"]), tuple(held["batches"]))
+        return Manifest(int(held["generation"]), tuple(SegmentEntry(**s | {"checks": tuple(s["checks"])}) for s in held["segments"]), tuple(held["tokenizer"]), int(held["next_segment"]), int(held["next_num"]), tuple((str(k), int(n)) for k, n in held["batches"]))
     except (KeyError, TypeError, ValueError) as x:
         raise ManifestCorruptionError(repr(x)) from x
 
@@ -78,31 +86,28 @@ def _alive(pid: int) -> bool:
 
 
 class Lock:
-    """One writer for each folder: a file with its process number; that of a dead process is taken over."""
+    """One writer for each folder: a blob with its host and process; that of a dead process of this host is taken over."""
 
-    def __init__(self, backend: FsBackend):
-        self.path, self.held = backend.folder / LOCK, False
+    def __init__(self, backend: StorageBackend):
+        self.backend, self.held = backend, False
 
     def acquire(self) -> None:
+        host = socket.gethostname()
         for _ in range(3):
+            if self.backend.create(LOCK, f"{os.getpid()}@{host}".encode()):
+                self.held = True
+                return
             try:
-                handle = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            except FileExistsError:
-                try:
-                    pid = int(self.path.read_text())
-                except (ValueError, FileNotFoundError):
-                    pid = 0
-                if pid > 0 and _alive(pid):
-                    raise IndexLockedError(pid) from None
-                self.path.unlink(missing_ok=True)
+                pid, _, where = self.backend.read(LOCK).decode().partition("@")
+            except FileNotFoundError:
                 continue
-            with os.fdopen(handle, "w") as f:
-                f.write(str(os.getpid()))
-            self.held = True
-            return
+            number = int(pid) if pid.isdigit() else 0
+            if number > 0 and (where not in ("", host) or _alive(number)):
+                raise IndexLockedError(number)
+            self.backend.delete(LOCK)
         raise IndexLockedError(0)
 
     def release(self) -> None:
         if self.held:
             self.held = False
-            self.path.unlink(missing_ok=True)
+            self.backend.delete(LOCK)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from ..errors import StoreError, MappingCorruptionError, SegmentCorruptionError
+from ..errors import MappingCorruptionError, SegmentCorruptionError, StoreError
+from .manifest import SegmentEntry
 
 SCHEMAS = {
     "postings": "term string, num_id long, tf long, dl long",
@@ -19,27 +18,47 @@ SCHEMAS = {
 }
 #: Postings that one file of a segment holds; files divide the range of terms.
 FILE_POSTINGS = 8_000_000
+#: The longest term, in bytes.
+TERM_BYTES = 65_535
 
 
 def segment_path(root: str, table: str, seg_id: str) -> str:
     return f"{root.rstrip('/')}/{table}/seg_id={seg_id}"
 
 
-def write_segment(root: str, seg_id: str, postings: DataFrame, docs: DataFrame, names: DataFrame, tombstones: DataFrame, expected_postings: int | None = None) -> tuple[int, int, int, int]:
-    """Writes one immutable segment; (docs, total_len, postings, tombstones).
+def write_segment(spark: SparkSession, root: str, seg_id: str, postings: DataFrame, docs: DataFrame, names: DataFrame, tombstones: DataFrame, expected_postings: int) -> SegmentEntry:
+    """Writes one immutable segment; its entry for the manifest, of tier 0, measured on what was written.
 
-    Postings are range-partitioned and sorted by (term, num_id), so that a term's row groups are found by their statistics.
+    Postings are range-partitioned over as many files as they are expected to fill and sorted by (term, num_id), so that a
+    term's row groups are found by their statistics.
     """
-    files = max(1, -(-(expected_postings or 0) // FILE_POSTINGS))
+    files = max(1, -(-expected_postings // FILE_POSTINGS))
     rows = postings.select("term", "num_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
-    spread = rows.repartitionByRange(files, "term", "num_id") if files > 1 else rows.coalesce(1)
-    spread.sortWithinPartitions("term", "num_id").write.mode("overwrite").parquet(segment_path(root, "postings", seg_id))
+    rows.repartitionByRange(files, "term", "num_id").sortWithinPartitions("term", "num_id").write.mode("overwrite").parquet(segment_path(root, "postings", seg_id))
     docs.select("num_id", F.col("dl").cast("long").alias("dl")).write.mode("overwrite").parquet(segment_path(root, "docs", seg_id))
     names.select("doc_id", "num_id").write.mode("overwrite").parquet(segment_path(root, "names", seg_id))
     tombstones.select("num_id").distinct().coalesce(1).write.mode("overwrite").parquet(segment_path(root, "tombstones", seg_id))
-    spark = postings.sparkSession
-    n, total = read_table(spark, root, "docs", [seg_id]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return n, total, read_table(spark, root, "postings", [seg_id]).count(), read_table(spark, root, "tombstones", [seg_id]).count()
+    held = {t: read_table(spark, root, t, [seg_id]) for t in SCHEMAS}
+    total, distinct, low, high = held["docs"].agg(F.coalesce(F.sum("dl"), F.lit(0)), F.countDistinct("num_id"), F.min("num_id"), F.max("num_id")).first()
+    longest, terms = held["postings"].agg(F.max(F.octet_length("term")), F.countDistinct("term")).first()
+    if (longest or 0) > TERM_BYTES:
+        raise ValueError(f"a term has {longest} bytes; {TERM_BYTES} is the limit")
+    found = {t: checked(held[t].drop("seg_id")).first() for t in SCHEMAS}
+    n = found["docs"]["n"]
+    if distinct != n:
+        raise SegmentCorruptionError("docs", f"{n} documents from {low} to {high} have {distinct} numbers")
+    return SegmentEntry(seg_id, n, total, 0, found["postings"]["n"], found["tombstones"]["n"], terms, folder_bytes(spark, segment_path(root, "postings", seg_id)), tuple(found[t]["sum"] or 0 for t in SCHEMAS))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """(seg_id, n, sum): the rows of each segment and a checksum of their values, whatever their order."""
+    values = [c for c in rows.columns if c != "seg_id"]
+    return rows.groupBy("seg_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*values)).alias("sum")) if rows.columns != values else rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*values)).alias("sum"))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
 def read_table(spark: SparkSession, root: str, table: str, seg_ids: Sequence[str]) -> DataFrame:
@@ -58,24 +77,39 @@ def _corrupt(table: str, detail: str) -> Exception:
     return MappingCorruptionError(detail) if table == "names" else SegmentCorruptionError(table, detail)
 
 
-def verify(spark: SparkSession, root: str, entry) -> None:
-    """Raises unless a segment holds as many rows as its manifest entry says."""
-    found = {"docs": entry.docs, "names": entry.docs, "postings": entry.postings, "tombstones": entry.deletes}
-    for table, n in found.items():
+def verify(spark: SparkSession, root: str, entries: Sequence[SegmentEntry]) -> None:
+    """Raises unless segments hold the rows and checksums that the manifest says; one pass over each table."""
+    for i, (table, count) in enumerate((("postings", "postings"), ("docs", "docs"), ("tombstones", "deletes"), ("names", "docs"))):
         try:
-            held = read_table(spark, root, table, [entry.id]).count()
+            held = {r["seg_id"]: (r["n"], r["sum"]) for r in checked(read_table(spark, root, table, [e.id for e in entries])).collect()}
         except StoreError:
             raise
         except Exception as x:
             raise _corrupt(table, str(x).split("\n")[0]) from x
-        if held != n:
-            raise _corrupt(table, f"{held} rows instead of {n} in {entry.id}")
+        for e in entries:
+            n, sum_ = held.get(e.id, (0, 0))
+            if n != getattr(e, count):
+                raise _corrupt(table, f"{n} rows instead of {getattr(e, count)} in {e.id}")
+            if sum_ != e.checks[i]:
+                raise _corrupt(table, f"checksum {sum_} instead of {e.checks[i]} in {e.id}")
 
 
-def drop_segment(root: str, seg_id: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_segment(spark: SparkSession, root: str, seg_id: str) -> None:
     for table in SCHEMAS:
-        shutil.rmtree(segment_path(root, table, seg_id), ignore_errors=True)
+        remove(spark, segment_path(root, table, seg_id))
 
 
-def on_disk(root: str) -> set[str]:
-    return {p.name.removeprefix("seg_id=") for t in SCHEMAS for p in Path(root, t).glob("seg_id=*")}
+def on_disk(spark: SparkSession, root: str) -> set[str]:
+    found = set()
+    for table in SCHEMAS:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            found |= {n.removeprefix("seg_id=") for f in fs.listStatus(where) if (n := f.getPath().getName()).startswith("seg_id=")}
+    return found

@@ -3,11 +3,13 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftlode.errors import IndexLockedError, ManifestCorruptionError, ManifestVersionError, MappingCorruptionError, SegmentCorruptionError, TokenizerMismatchError, WriteStreamError
 from siftlode.functions.text import UnicodeTokenizer
 from siftlode.plans.engine import Index
-from siftlode.sources.blobs import FsBackend
+from siftlode.sources import segments
+from siftlode.sources.blobs import FsBackend, HadoopBackend
 from siftlode.streaming.ingest import ingest
 
 
@@ -50,11 +52,11 @@ def test_life_of_an_index(spark, tmp_path):
 
 
 def test_bulk_and_replayed_batches(spark, tmp_path):
-    rows = spark.createDataFrame([("p", "fox one"), ("q", "fox two"), ("q", "fox zwei"), (None, "lost"), ("r", None)], "doc_id string, text string")
+    rows = spark.createDataFrame([("p", "fox one"), ("q", "fox zwei"), ("q", "fox two"), (None, "lost"), ("r", None)], "doc_id string, text string")
     with Index.open(spark, tmp_path, fanout=2) as x:
         x.add_many(rows, batch=0)
         x.add_many(rows, batch=0)
-        assert x.doc_count() == 3 and hits(x.search("zwei")) == ["q"] and hits(x.search("two")) == []
+        assert x.doc_count() == 3 and hits(x.search("two")) == ["q"] and hits(x.search("zwei")) == []
         x.add_many(spark.createDataFrame([("p", "new fox")], "doc_id string, text string"), batch=1)
         assert x.segment_count() == 1 and x.manifest.segments[0].tier == 1
         assert hits(x.search("one")) == [] and hits(x.search("new")) == ["p"]
@@ -103,7 +105,7 @@ def test_recovery_and_errors(spark, tmp_path):
     Index.open(spark, tmp_path).close()
     assert not (tmp_path / "postings/seg_id=000077").exists() and not (tmp_path / "x.tmp").exists() and not (tmp_path / ".lock").exists()
     good = (tmp_path / "manifest.json").read_text()
-    for bad, kind in (("{", ManifestCorruptionError), ("[]", ManifestCorruptionError), (json.dumps(json.loads(good) | {"version": 99}), ManifestVersionError), ('{"version": 1}', ManifestCorruptionError)):
+    for bad, kind in (("{", ManifestCorruptionError), ("[]", ManifestCorruptionError), (json.dumps(json.loads(good) | {"version": 99}), ManifestVersionError), ('{"version": 2}', ManifestCorruptionError)):
         (tmp_path / "manifest.json").write_text(bad)
         with pytest.raises(kind):
             Index.open(spark, tmp_path)
@@ -147,3 +149,109 @@ def test_stream(spark, tmp_path):
         for _ in range(2):
             ingest(spark.readStream.schema("doc_id string, text string").parquet(str(tmp_path / "in")), x, str(tmp_path / "checkpoint")).awaitTermination()
         assert x.doc_count() == 2 and hits(x.search("dog")) == ["b"]
+
+
+def test_the_greatest_order_wins(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "new fox", 2), ("p", "old fox", 1)], "doc_id string, text string, seq int")
+    with Index.open(spark, tmp_path) as x:
+        x.add_many(rows, order="seq")
+        assert hits(x.search("new")) == ["p"] and hits(x.search("old")) == []
+
+
+def test_two_streams_into_one_index(spark, tmp_path):
+    with Index.open(spark, tmp_path / "index") as x:
+        for s, word in (("one", "fox"), ("two", "dog")):
+            spark.createDataFrame([(f"{s}-{i}", f"{word} {i}") for i in range(3)], "doc_id string, text string").write.parquet(str(tmp_path / s))
+            for _ in range(2):
+                ingest(spark.readStream.schema("doc_id string, text string").parquet(str(tmp_path / s)), x, str(tmp_path / f"checkpoint-{s}")).awaitTermination()
+        assert x.doc_count() == 6 and len(hits(x.search("fox"))) == 3 and len(hits(x.search("dog"))) == 3
+        assert len(x.manifest.batches) == 2
+        more = spark.createDataFrame([("z", "cat")], "doc_id string, text string")
+        x.add_many(more, batch=0, stream="three")
+        x.add_many(more, batch=0, stream="three")
+        assert x.doc_count() == 7
+
+
+def test_a_large_segment_has_several_files_and_right_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "FILE_POSTINGS", 2_000)
+    rows = spark.range(12_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("fox w"), F.col("id").cast("string"), F.lit(" x"), (F.col("id") % 97).cast("string")).alias("text"))
+    with Index.open(spark, tmp_path) as x:
+        x.add_many(rows)
+        files = sorted((tmp_path / "postings/seg_id=000000").glob("*.parquet"))
+        assert len(files) > 5
+        assert x.table("names").select("num_id").distinct().count() == 12_000
+        assert sorted(hits(x.search("w777"))) == ["d777"] and x.search("fox").count() == 12_000
+        assert set(hits(x.search("x5", mode="and"))) == {f"d{i}" for i in range(12_000) if i % 97 == 5}
+        x.remove("d777")
+        x.flush()
+        assert hits(x.search("w777")) == [] and hits(x.search("w778")) == ["d778"]
+        assert x.manifest.segments[0].terms == 1 + 12_000 + 97 and x.manifest.segments[0].postings_bytes > 0
+
+
+def test_folder_by_uri(spark, tmp_path):
+    uri = f"file://{tmp_path}/deep/index"
+    with Index.open(spark, uri) as x:
+        x.add_many(spark.createDataFrame([("a", "fox"), ("b", "dog")], "doc_id string, text string"))
+        assert isinstance(x.backend, HadoopBackend) and x.backend.is_local()
+        with pytest.raises(IndexLockedError):
+            Index.open(spark, uri)
+    assert (tmp_path / "deep/index/manifest.json").exists() and not (tmp_path / "deep/index/.lock").exists()
+    with Index.open(spark, uri) as x:
+        assert hits(x.search("dog")) == ["b"]
+    b = HadoopBackend(spark, f"file://{tmp_path}/blobs")
+    b.write("one", b"1")
+    b.write("one", b"2")
+    b.append("one", b"3")
+    assert b.read("one") == b"23" and b.names("o") == ["one"] and not b.create("one", b"x") and b.create("two", b"")
+    w = b.writer("three")
+    w.abort()
+    w.abort()
+    with pytest.raises(WriteStreamError):
+        w.write(b"3")
+    b.delete("two")
+    with pytest.raises(FileNotFoundError):
+        b.read("two")
+
+
+def test_changed_values_are_found(spark, tmp_path):
+    with Index.open(spark, tmp_path) as x:
+        x.add_many(spark.createDataFrame([("a", "fox"), ("b", "dog")], "doc_id string, text string"))
+    for table, kind in (("postings", SegmentCorruptionError), ("docs", SegmentCorruptionError), ("names", MappingCorruptionError)):
+        folder = tmp_path / table / "seg_id=000000"
+        kept = tmp_path / "kept"
+        shutil.copytree(folder, kept)
+        rows = spark.read.parquet(str(kept))
+        c = {"postings": "tf", "docs": "dl", "names": "num_id"}[table]
+        rows.withColumn(c, F.col(c) + 1).write.mode("overwrite").parquet(str(folder))
+        with pytest.raises(kind):
+            Index.open(spark, tmp_path)
+        shutil.rmtree(folder)
+        shutil.move(kept, folder)
+    data = next((tmp_path / "postings/seg_id=000000").glob("*.parquet"))
+    whole = data.read_bytes()
+    at = whole.index(b"fox")
+    data.write_bytes(whole[:at] + b"fux" + whole[at + 3 :])
+    for crc in data.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(SegmentCorruptionError):
+        Index.open(spark, tmp_path)
+    data.write_bytes(whole)
+    Index.open(spark, tmp_path).close()
+
+
+def test_terms_have_a_longest_size(spark, tmp_path):
+    with Index.open(spark, tmp_path) as x:
+        with pytest.raises(ValueError, match="65535"):
+            x.add_many(spark.createDataFrame([("a", "y" * 65_536)], "doc_id string, text string"))
+        assert x.segment_count() == 0
+        x.add_many(spark.createDataFrame([("a", "y" * 65_535)], "doc_id string, text string"))
+        assert x.doc_count() == 1
+
+
+def test_a_backend_of_ones_own(spark, tmp_path):
+    kept = FsBackend(tmp_path / "elsewhere")
+    with Index.open(spark, tmp_path / "index", backend=kept) as x:
+        x.add("a", "fox")
+    assert kept.names() == ["manifest.json"] and not (tmp_path / "index/manifest.json").exists()
+    with Index.open(spark, tmp_path / "index", backend=kept) as x:
+        assert hits(x.search("fox")) == ["a"]

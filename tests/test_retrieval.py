@@ -111,11 +111,20 @@ def test_empty_documents_count(relations):
     assert {r["num_id"] for r in relations[1].filter("dl = 0").collect()} == {40, 41}
 
 
-def test_numbers_are_consecutive(spark):
-    got = index.number_documents(spark.createDataFrame([(x,) for x in "hgfedcba"], "doc_id string"), 10, partitions=3).orderBy("doc_id").collect()
+def test_numbers_are_consecutive(spark, tmp_path):
+    got = index.number_documents(spark.createDataFrame([(x,) for x in "hgfedcba"], "doc_id string"), str(tmp_path / "n"), 10, partitions=3).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["num_id"]) for r in got] == [(c, 10 + i) for i, c in enumerate("abcdefgh")]
 
 
+def test_many_rows_with_a_payload_get_consecutive_numbers(spark, tmp_path):
+    rows = spark.range(200_000).select(F.lpad(((F.col("id") * 7919) % 200_000).cast("string"), 6, "0").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    got = index.number_documents(rows, str(tmp_path / "n"), 5, partitions=7)
+    n, distinct, low, high = got.agg(F.count("*"), F.countDistinct("num_id"), F.min("num_id"), F.max("num_id")).first()
+    assert (n, distinct, low, high) == (200_000, 200_000, 5, 200_004)
+    assert got.filter(F.col("num_id") - 5 != F.col("doc_id").cast("long")).isEmpty()
+    assert got.filter(F.length("text") != 0).count() == 200_000 * 49 // 50
+
+
 def test_gaps_round_trip(relations):
     gaps = index.deltas(relations[0])
     assert index.undeltas(gaps).filter("restored <> num_id").isEmpty()
