@@ -3,13 +3,17 @@
 Items and documents become sequences of word n-gram shingles (words as in the n-gram join, lower case).  An item of m
 distinct shingles must find c = ceil(containment * m) of them inside one window as long as the item.  Any such window holds
 at least one of the item's m - c + 1 rarest shingles, so only those prefix shingles are joined; rarity is the number of
-documents that hold a shingle, counted over all documents.  A pair survives the length bound if the document shares c
-distinct shingles with the item at all, the positional bound if c hits lie within the reach of a prefix hit, and is then
-verified exactly: the largest number of distinct item shingles in any window of the item's length.
+documents that hold a shingle, counted over all documents.  Then
+
+* length bound: a text of fewer words than c shingles need drops out before its prefix hits are joined;
+* positional bound: a window with c shingles lies within the item's length of one of its prefix hits, so only hits so near a
+  prefix hit are taken up, and the pair goes on if c distinct shingles are among them;
+* verification: the largest number of distinct item shingles in any window of the item's length, exactly.
 
 Defined results: NULL or blank texts match nothing; an item shorter than n words has no shingle and matches nothing (too
 short to be evidence); rows without doc_id or item_id match nothing; repeated rows count once; if an id has several texts,
-its best match counts; an empty table gives an empty result.
+its best match counts, and of equally good ones that of the item with more shingles; a very long text is searched whole; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ BROADCAST_SHINGLES = 4_000_000
 
 
 def _shingles(n: int, only: np.ndarray | None):
-    """Rows (id, version, pos, sh): where each text holds each shingle; ``only``: sorted shingles to keep."""
+    """Rows (id, version, pos, sh, words): where each text holds each shingle; ``only``: sorted shingles to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,12 +52,12 @@ def _shingles(n: int, only: np.ndarray | None):
                     hit = only[near] == h if len(only) else np.zeros(len(h), bool)
                     h, at, doc = h[hit], at[hit], doc[hit]
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(version[doc])), pa.array((at - start[doc]).astype(np.int32)), pa.array(signed(h))], ["id", "version", "pos", "sh"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(version[doc])), pa.array((at - start[doc]).astype(np.int32)), pa.array(signed(h)), pa.array(np.diff(t.off)[doc].astype(np.int32))], ["id", "version", "pos", "sh", "words"])
 
     return run
 
 
-_ROWS = "id long, version long, pos int, sh long"
+_ROWS = "id long, version long, pos int, sh long, words int"
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -61,25 +65,30 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StructType().add("matched", T.IntegerType()).add("pos", T.IntegerType()))
-def _best_window(hits: pd.Series, length: pd.Series) -> pd.DataFrame:
+def _best_window(positions: pd.Series, shingles: pd.Series, length: pd.Series) -> pd.DataFrame:
     """The most distinct shingles in any window of ``length`` positions, and the first such window's first hit."""
-    best, where = [], []
-    for rows, m in zip(hits, length, strict=True):
-        pos = [r["pos"] for r in rows]
-        sh = [r["sh"] for r in rows]
-        held: dict[int, int] = {}
-        most, at, low = 0, 0, 0
-        for i in range(len(pos)):
-            held[sh[i]] = held.get(sh[i], 0) + 1
-            while pos[i] - pos[low] >= m:
-                held[sh[low]] -= 1
-                if not held[sh[low]]:
-                    del held[sh[low]]
-                low += 1
-            if len(held) > most:
-                most, at = len(held), pos[low]
-        best.append(most)
-        where.append(at)
+    best, where = np.zeros(len(length), np.int32), np.zeros(len(length), np.int32)
+    for k, (pos, sh, m) in enumerate(zip(positions, shingles, length, strict=True)):
+        order = np.lexsort((sh, pos))
+        pos, sh = pos[order], sh[order]
+        # a hit counts from where it enters a window until the same shingle comes again
+        low = np.searchsorted(pos, pos - m, side="right")
+        by = np.lexsort((np.arange(len(sh)), sh))
+        before = np.full(len(sh), -1)
+        same = sh[by[1:]] == sh[by[:-1]]
+        before[by[1:][same]] = by[:-1][same]
+        # distinct shingles of the hits low[i]..i: those whose next occurrence is after i
+        change = np.zeros(len(pos) + 1, np.int64)
+        after = np.searchsorted(low, np.arange(len(pos)), side="right")  # the first window that no longer holds the hit
+        np.add.at(change, np.arange(len(pos)), 1)
+        np.add.at(change, after, -1)
+        again = np.flatnonzero(before >= 0)
+        both = again[after[before[again]] > again]
+        np.add.at(change, both, -1)
+        np.add.at(change, after[before[both]], 1)
+        held = np.cumsum(change[:-1])
+        at = int(held.argmax())
+        best[k], where[k] = held[at], pos[low[at]]
     return pd.DataFrame({"matched": best, "pos": where})
 
 
@@ -96,21 +105,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, containment:
         only = np.sort(np.array([r["sh"] for r in words.toLocalIterator()], np.int64).view(np.uint64))
         hits = texts.mapInArrow(_shingles(n, only), _ROWS)
     else:
-        hits = texts.mapInArrow(_shingles(n, None), _ROWS).join(words, "sh", "left_semi").select("id", "version", "pos", "sh")
+        hits = texts.mapInArrow(_shingles(n, None), _ROWS).join(words, "sh", "left_semi").select("id", "version", "pos", "sh", "words")
     hits = table(hits.withColumnRenamed("id", "doc_id"))
     rarity = hits.groupBy("sh").agg(F.countDistinct("doc_id").alias("df"))
     ranked = table(items.join(by_size(rarity), "sh", "left").withColumn("rank", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "sh"))))
     listed = ranked.count()
-    prefix = ranked.filter(F.col("rank") <= F.col("m") - F.col("c") + 1).select("sh", "item_id", "iv")
-    found = hits.join(by_size(prefix), "sh").select("doc_id", "version", "item_id", "iv").distinct()
-    whole = ranked.select("sh", "item_id", "iv", "m", "c", "reach")
-    pairs = hits.join(by_size(whole), "sh").join(found, ["doc_id", "version", "item_id", "iv"], "left_semi")
+    whole = ranked.select("sh", "item_id", "iv", "m", "c", "reach", (F.col("rank") <= F.col("m") - F.col("c") + 1).alias("rare"))
+    # length bound: c distinct shingles begin at as many words, and the last has n
+    long = F.col("words") >= F.col("c") + (n - 1)
+    pair = ["doc_id", "version", "item_id", "iv"]
+    first = table(hits.join(by_size(table(whole.filter("rare"))), "sh").filter(long).groupBy(*pair, "reach").agg(F.array_sort(F.collect_set("pos")).alias("near")))
+    met = hits.join(by_size(whole), "sh").join(by_size(first.drop("reach")), pair)
+    # positional bound: both lists ascend, so the nearest prefix hits of a hit are found by one filter of the pair's few
+    near = F.exists("near", lambda p: F.abs(p - F.col("pos")) < F.col("reach"))
     groups = (
-        pairs.groupBy("doc_id", "version", "item_id", "iv")
-        .agg(F.first("m").alias("m"), F.first("c").alias("c"), F.first("reach").alias("reach"), F.array_sort(F.collect_set(F.struct("pos", "sh"))).alias("hits"))
-        .filter(F.size(F.array_distinct(F.transform("hits", lambda h: h["sh"]))) >= F.col("c"))
+        met.filter(near)
+        .groupBy(*pair)
+        .agg(F.first("m").alias("m"), F.first("c").alias("c"), F.first("reach").alias("reach"), F.collect_set(F.struct("pos", "sh")).alias("hits"))
+        .filter(F.size(F.array_distinct(F.col("hits.sh"))) >= F.col("c"))
     )
-    checked = groups.withColumn("best", _best_window("hits", "reach")).filter(F.col("best.matched") >= F.col("c"))
+    checked = groups.withColumn("best", _best_window(F.col("hits.pos"), F.col("hits.sh"), "reach")).filter(F.col("best.matched") >= F.col("c"))
     best = F.max_by(F.struct(F.col("best.matched").alias("matched"), F.col("m").alias("shingles")), F.struct(F.col("best.matched") / F.col("m"), "m"))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.shingles").alias("shingles"), F.round(F.col("b.matched") / F.col("b.shingles"), 6).alias("containment"))
 
