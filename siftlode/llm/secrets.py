@@ -1,7 +1,7 @@
 """Secret scans by a battery of randomness tests.
 
 Candidates are runs of at least 16 characters of the base-64 alphabets.  For each, the smallest encoding that can hold it is
-inferred (hex, base 32, upper or lower case with digits, alphanumeric, base 64) and its code values are tested for
+inferred (hex, base 32, upper or lower case with digits, letters, alphanumeric, base 64) and its code values are tested for
 
 * uniformity (chi-squared over value ranges, as many as the length allows),
 * independence of high and low values (runs test about the middle),
@@ -13,11 +13,14 @@ fixed set of invented words.  A candidate's p-value is the share of words of its
 Within each length class the Benjamini-Hochberg procedure over all distinct candidates keeps the share of false discoveries
 below ``fdr``; a discovery must besides not be rejected as random at ``level``.
 
-Candidates must hold a letter and a digit: runs of letters alone are the words that serve as reference, runs of digits alone
-are numbers.  Findings carry a hash of the secret, never the secret.
+Candidates hold a letter and a digit, or an upper-case letter after a lower-case one, as random strings without a digit do.
+Other runs of letters alone are the words that serve as reference; runs of digits alone are numbers.  Findings carry a hash
+of the secret, never the secret.
 
 Defined results: NULL or empty texts have no findings and stay as they are; a secret that occurs several times in a text is
-one finding with its count; every repeated row has its own findings; an empty table gives an empty result.
+one finding with its count; every repeated row has its own findings; candidates of one score are all discoveries or none; a
+very long text is scanned whole, and a very long run is one candidate; an empty table gives an empty result; columns besides
+doc_id, text and n_chars are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ ENCODINGS = (
     ("base32", _UP + "234567"),
     ("upper36", _UP + _DIGIT),
     ("lower36", _LOW + _DIGIT),
+    ("alpha52", _UP + _LOW),
     ("alnum62", _UP + _LOW + _DIGIT),
     ("base64", _UP + _LOW + _DIGIT + "+/"),
     ("base64url", _UP + _LOW + _DIGIT + "-_"),
@@ -121,7 +125,7 @@ def _found(text: Column) -> Column:
 
 
 def _mixed(token: Column) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    return token.rlike("[A-Za-z]") & (token.rlike("[0-9]") | token.rlike("[a-z].*[A-Z]"))
 
 
 @F.pandas_udf(T.StructType().add("class", T.IntegerType()).add("bin", T.IntegerType()))
