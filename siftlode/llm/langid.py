@@ -5,15 +5,17 @@ inverse document frequency over all documents, and scaled to unit length.  Weigh
 leader (per-coordinate, proximal) with an elastic net: the L1 part keeps most weights at zero.  The softmax is then calibrated
 by the one temperature that minimises the log loss of held-out rows.
 
-The model is fitted on a bounded sample of labelled rows (``per_language`` rows of each of the ``languages`` most frequent
-values of ``lang``, in the order of a hash of doc_id, every fifth held out for calibration); all documents are counted
-for the document frequencies, and all are judged.  The driver holds the sampled features and the weights.
+The model is fitted on a bounded sample of labelled rows: ``per_language`` rows of every value of ``lang``, fewer (``FEWEST`` at
+least) where there are so many values that they would be more than ``SAMPLE`` rows; in the order of a hash of doc_id, every
+fifth held out for calibration.  All documents are counted for the document frequencies, and all are judged.  The driver holds
+the sampled features and the weights.
 
 A document is accepted if the calibrated probability of its best language is at least ``accept``.
 
 Defined results: a NULL text or one without a letter is "und" with confidence 0 and rejected; without any labelled row, every
-document is; a NULL lang is no label; ties go to the language that sorts first; every repeated row has its own result; an
-empty table gives an empty result.
+document is; a NULL lang is no label; ties go to the language that sorts first; every repeated row has its own result; of two
+texts of one doc_id and label in the sample, the one of the smaller hash is used; a very long text is judged whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .io import fresh
 
 FEATURES = 1 << 15
 PER_LANGUAGE = 500
-LANGUAGES = 200
+SAMPLE = 100_000
+FEWEST = 10
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 ACCEPT = 0.5
@@ -86,13 +89,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def sample(docs: DataFrame, per_language: int, languages: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+def sample(docs: DataFrame, per_language: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
     """Labels and term frequencies of the training rows, in the order of the hash."""
     labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("label"))
-    common = [r["label"] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
+    labels = labelled.agg(F.countDistinct("label")).first()[0]
+    most = min(per_language, max(FEWEST, SAMPLE // max(1, labels)))
     luck = F.xxhash64("id", F.lit(7))
-    picked = labelled.filter(F.col("label").isin(common)).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(luck, "id"))).filter(F.col("n") <= per_language).select("id", "label")
-    picked = [(r["id"], r["label"]) for r in picked.collect()]  # at most per_language * languages
+    picked = labelled.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(luck, "id"))).filter(F.col("n") <= most).select("id", "label")
+    picked = [(r["id"], r["label"]) for r in picked.collect()]  # most rows of each label
     if not picked:
         return [], []
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "id long, label string"))
@@ -103,7 +107,7 @@ def sample(docs: DataFrame, per_language: int, languages: int) -> tuple[list[str
             yield pd.DataFrame({"id": b["id"], "label": b["label"], "at": [a.astype(np.int32).tobytes() for a, _ in tf], "tf": [t.astype(np.float32).tobytes() for _, t in tf]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(chosen, F.col("doc") == F.col("id")).select("id", "label", "text").mapInPandas(features, "id long, label string, at binary, tf binary").toPandas()
-    rows = rows.drop_duplicates(["id", "label"]).sort_values(["id", "label"])
+    rows = rows.sort_values(["id", "label", "at", "tf"]).drop_duplicates(["id", "label"])
     order = np.random.default_rng(11).permutation(len(rows))
     rows = rows.iloc[order]
     return rows["label"].tolist(), [(np.frombuffer(a, np.int32), np.frombuffer(t, np.float32).astype(float)) for a, t in zip(rows["at"], rows["tf"], strict=True)]
@@ -183,8 +187,8 @@ class Model:
         return self.languages[best], float(p[best])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    labels, rows = sample(docs, per_language, languages)
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    labels, rows = sample(docs, per_language)
     if not labels:
         return Model([], np.zeros(FEATURES))
     df, n = document_frequencies(docs)
