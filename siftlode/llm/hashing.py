@@ -100,6 +100,14 @@ class Tokens:
         return mix((total[at + length] - total[at]) * back[at] + np.uint64(length)), at
 
 
+def string_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hashes of the strings ``data[start:stop]`` of one array of bytes, as those of tokens."""
+    power, back = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WORDS[data] * power[: len(data)], out=total[1:])
+    return mix((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
