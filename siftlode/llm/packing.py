@@ -1,51 +1,69 @@
-"""Packing into optimal length buckets.
+"""Packing of token sequences into optimal length buckets.
 
-The histogram of all lengths is global and exact.  Dynamic programming over it chooses at most ``buckets`` boundaries so that
-padding every document to its bucket's boundary costs the fewest tokens (divide and conquer over the monotone optimal cuts).
-Inside a bucket, documents are dealt to shards of about ``shard_rows`` rows by doc_id, and each shard, in order of doc_id,
-is cut into batches of as many documents as the token budget holds at the bucket's boundary.
+Texts become token ids by a public byte-level BPE vocabulary, whose file is a parameter.  The histogram of all lengths is
+global and exact.  Dynamic programming over it chooses at most ``buckets`` boundaries so that padding every sequence to its
+bucket's boundary costs the fewest tokens (divide and conquer over the monotone optimal cuts).  Inside a bucket, documents are
+dealt to shards of about ``shard_rows`` rows by a hash, and each shard, in order of doc_id, is cut into batches of as many
+sequences as the token budget holds at the bucket's boundary.
 
-Only (doc_id, length) is shuffled.  The driver holds the histogram: one number for each distinct length.
+Texts are tokenized once, into a table; the sequences move once, to their shards, where batches lie in order.  The driver
+holds the histogram: one number for each distinct length.
 
-Defined results: a NULL or blank text has length 0 and joins the shortest bucket; a document longer than the budget is a
-batch of its own; of two equal optimal cuts the shorter boundary wins; a NULL doc_id counts as 0 for its shard and comes
-first; repeated rows are packed as often as they occur; an empty table gives an empty result.
+Defined results: a NULL or empty text is an empty sequence and joins the shortest bucket; a sequence longer than the budget is
+a batch of its own, and is never cut; of two equal optimal cuts the shorter boundary wins; a NULL doc_id comes first in its
+shard; repeated rows are packed as often as they occur; special tokens' strings are ordinary text; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .hashing import SPACE_PATTERN
 from .io import table
 
 BUCKETS = 8
 BUDGET = 65_536
-SHARD_ROWS = 100_000
+SHARD_ROWS = 20_000
+#: Ranks of a byte-level BPE, one to a line (the token in base 64, and its number), and the pattern that splits text before it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def words(text: Column) -> Column:
-    """The number of runs of non-white-space characters."""
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(SPACE_PATTERN)), F.lit(0))
+def ranks_of(spark: SparkSession, vocabulary: str) -> bytes:
+    """The vocabulary file, read by the session: from any file system that it knows, once."""
+    return bytes(spark.read.format("binaryFile").load(vocabulary if ":" in vocabulary else f"file://{vocabulary}").select("content").first()[0])
 
 
-def bpe_tokens(text: Column, tokenizer_file: str) -> Column:
-    """The number of tokens that a tokenizer file of the ``tokenizers`` library gives; NULL has none."""
+@functools.cache
+def encoder(ranks: bytes):
+    import tiktoken
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}, special_tokens={})
 
-        known = Tokenizer.from_file(tokenizer_file)
-        known.encode_special_tokens = True
-        for texts in batches:
-            yield pd.Series([len(x) for x in known.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int32")
 
-    return count(text.cast("string"))
+def _tokenized(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(shared.value).encode_ordinary
+        for batch in batches:
+            found = [np.array(encode(x) if x else [], np.int32) for x in batch.column(1).to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "tokens"])
+
+    return run
+
+
+def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, tokens) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(docs.sparkSession, vocabulary))  # a file of fixed size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_tokenized(shared), "doc_id long, n_tokens long, tokens array<int>")
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -79,9 +97,9 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return [int(size[e - 1]) for e in reversed(ends)]
 
 
-def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, n_tokens, bucket, padded, shard, batch, slot) of every row; ``tokens``: a column of its length, words by default."""
-    rows = table(docs.select(F.col("doc_id").cast("long"), (words(F.col("text")) if tokens is None else tokens).cast("long").alias("n_tokens")))
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, bucket, padded, shard, batch, slot, tokens) of every row: batches lie in order within their shards."""
+    rows = table(tokenized(docs, vocabulary))
     histogram = sorted((r["n_tokens"], r["count"]) for r in rows.groupBy("n_tokens").count().collect())
     lengths, counts = np.array([x for x, _ in histogram], np.int64), np.array([x for _, x in histogram], np.int64)
     ends = best_boundaries(lengths, counts, buckets)
@@ -93,35 +111,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS,
         padded = F.when(here, F.lit(ends[i]).cast("long")).otherwise(padded)
         per = F.when(here, F.lit(max(1, budget // max(1, ends[i]))).cast("long")).otherwise(per)
         shards = F.when(here, F.lit(-(-held[i] // shard_rows) or 1).cast("long")).otherwise(shards)
-    placed = rows.select("doc_id", "n_tokens", bucket.cast("long").alias("bucket"), padded.alias("padded"), per.alias("per"), F.pmod(F.coalesce("doc_id", F.lit(0)), shards).alias("shard"))
-    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")).cast("long") - 1
-    return placed.withColumn("at", at).select("doc_id", "n_tokens", "bucket", "padded", "shard", F.floor(F.col("at") / F.col("per")).alias("batch"), (F.col("at") % F.col("per")).alias("slot"))
-
-
-def sql(source: str = "documents") -> str:
-    steps = ["c1 AS (SELECT j, l * upto AS cost, CAST(0 AS HUGEINT) AS cut FROM h)"]
-    for k in range(2, BUCKETS + 1):
-        steps.append(
-            f"c{k} AS (SELECT h.j, min(p.cost + h.l * (h.upto - q.upto)) AS cost, arg_min(p.j, (p.cost + h.l * (h.upto - q.upto), p.j)) AS cut"
-            f" FROM h JOIN c{k - 1} p ON p.j < h.j JOIN h q ON q.j = p.j WHERE h.j >= {k} GROUP BY h.j)"
-        )
-    # with fewer distinct lengths than buckets, the last step that reaches the end decides
-    steps.append("last AS (SELECT least(" + str(BUCKETS) + ", (SELECT max(j) FROM h)) AS k)")
-    ends = f"e{BUCKETS} AS (SELECT {BUCKETS} AS k, max(j) AS j FROM h)"
-    steps.append(ends)
-    for k in range(BUCKETS - 1, 0, -1):
-        steps.append(f"e{k} AS (SELECT {k} AS k, cut AS j FROM c{k + 1} WHERE j = (SELECT j FROM e{k + 1}))")
-    steps.append("bounds AS (SELECT row_number() OVER (ORDER BY l) - 1 AS bucket, l AS padded, coalesce(lag(l) OVER (ORDER BY l), -1) AS above FROM (" + " UNION ALL ".join(f"SELECT l FROM h WHERE j = (SELECT j FROM e{k})" for k in range(1, BUCKETS + 1)) + "))")
-    return (
-        r"WITH d AS (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x09-\x0d ]+')), 0) AS BIGINT) AS n_tokens FROM " + source + "),"
-        " h AS (SELECT row_number() OVER (ORDER BY n_tokens) AS j, CAST(n_tokens AS HUGEINT) AS l, sum(count(*)) OVER (ORDER BY n_tokens) AS upto FROM d GROUP BY n_tokens), "
-        + ", ".join(steps)
-        + f""", placed AS (SELECT doc_id, n_tokens, bucket, CAST(padded AS BIGINT) AS padded, greatest(1, {BUDGET} // greatest(1, CAST(padded AS BIGINT))) AS per,
-  count(*) OVER (PARTITION BY bucket) AS held FROM d JOIN bounds ON n_tokens > above AND n_tokens <= padded),
-dealt AS (SELECT *, coalesce(doc_id, 0) % CAST(ceil(held / {SHARD_ROWS}.0) AS BIGINT) AS shard FROM placed),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY doc_id, n_tokens) - 1 AS nth FROM dealt)
-SELECT doc_id, n_tokens, bucket, padded, shard, nth // per AS batch, nth % per AS slot FROM ranked"""
-    )
-
-
-SQL = sql()
+    # the hash of the tokens too: many rows of one doc_id, or of none, are no shard of their own
+    placed = rows.select("doc_id", "n_tokens", "tokens", bucket.cast("long").alias("bucket"), padded.alias("padded"), per.alias("per"), F.pmod(F.xxhash64("doc_id", "tokens"), shards).alias("shard"))
+    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "tokens")).cast("long") - 1
+    return placed.withColumn("at", at).select("doc_id", "n_tokens", "bucket", "padded", "shard", F.floor(F.col("at") / F.col("per")).alias("batch"), (F.col("at") % F.col("per")).alias("slot"), "tokens")

@@ -22,7 +22,6 @@ SQL = {
     "op2_line_frequency": line_rules.SQL,
     "op3_jaccard_join": jaccard.SQL,
     "op4_decontamination": decontam.SQL,
-    "op5_packing": packing.SQL,
     "op7_sharding": sharding.SQL,
     "op8_repeated_passages": repeats.SQL,
 }
