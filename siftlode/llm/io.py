@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of a keyed side that may be broadcast, by its measured widths; larger sides are shuffled.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 #: Copies of the smaller side of a shuffled join, so that the rows of one hot key are divided among as many tasks.
 SALTS = 16
 

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, jaccard, repeats
+from siftlode.llm import decontam, io, jaccard, repeats
 
 from .nasty import empty, frame, rows, words
 
@@ -40,75 +41,120 @@ def brute_pairs(data, n, t):
     return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
+def found_pairs(spark, data, n=2, t=0.5):
+    """The similar pairs of representatives that the join finds, by the smallest doc_id of their classes."""
+    corpus, found = jaccard.similar_sets(frame(spark, data), n, t)
+    return {(min(r["a"], r["b"]), max(r["a"], r["b"])): round(r["shared"] / r["total"], 6) for r in corpus.named(found, "a", "b").collect()}
+
+
+def brute_classes(data, n, t):
+    """doc_id: (class_id, copies, links), by the definition."""
+    sets = {i: grams(x, n) for i, x, *_ in data if i is not None}
+    near = brute_pairs(data, n, t)
+    parent = {i: i for i in sets}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in near:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    out = {}
+    for i in {x for p in near for x in p}:
+        other = [b if a == i else a for a, b in near if i in (a, b)]
+        out[i] = (root(i), sum(sets[j] == sets[i] for j in other), sum(sets[j] != sets[i] for j in other))
+    return out
+
+
 @pytest.mark.parametrize(("n", "t"), [(2, 0.5), (1, 0.6), (3, 0.8)])
 def test_join_finds_the_pairs_of_brute_force(spark, n, t):
     data = near_copies()
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_join(frame(spark, data), n, t).collect()}
-    want = brute_pairs(data, n, t)
-    assert set(got) <= set(want) and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in got)
-    assert len(got) >= 0.97 * len(want) and len(want) > 20
-    small = {p for p in want if all(len(grams(data[i][1], n)) <= jaccard.SKETCH for i in p)}
-    assert small <= set(got)
-
-
-@pytest.mark.parametrize("x", [0, 5, 20, 10**6])
-@pytest.mark.parametrize("rare", [0, 16])
-def test_any_boundary_gives_the_same_candidates(spark, x, rare, monkeypatch):
-    monkeypatch.setattr(jaccard, "RARE", rare)
-    _, sets = jaccard.distinct_sets(frame(spark, near_copies(4, 6, 15)), 2, jaccard.SKETCH)
-    ranked = jaccard.ranked_sketches(sets, 0.5)
-    pairs = [tuple(r) for r in jaccard.candidates(ranked, 0.5, x).collect()]
-    assert len(pairs) == len(set(pairs))
-    sk = {r["rep"]: (r["size"], r["sketch"]) for r in sets.collect()}
-    want = set()
-    for a in sk:
-        for b in sk:
-            (n, p), (m, q) = sk[a], sk[b]
-            if a < b and n >= 0.5 * m and m >= 0.5 * n:
-                union = set(sorted({x & (1 << 64) - 1 for x in (*p, *q)})[: jaccard.SKETCH])
-                common = {x & (1 << 64) - 1 for x in p} & {x & (1 << 64) - 1 for x in q}
-                need = max(min(jaccard.OVERLAP, math.ceil(0.5 * s - 1e-9)) for s in (n, m))
-                if len(common & union) >= need:
-                    want.add((a, b))
-    assert set(pairs) == want
-
-
-@pytest.mark.parametrize("x", [0, 20, 10**6])
-@pytest.mark.parametrize("rare", [0, 16])
-def test_two_shared_ngrams_make_a_candidate(spark, x, rare, monkeypatch):
-    monkeypatch.setattr(jaccard, "RARE", rare)
-    _, sets = jaccard.distinct_sets(frame(spark, near_copies(4, 6, 15)), 2, jaccard.SKETCH)
-    pairs = [tuple(r) for r in jaccard.candidates(jaccard.ranked_sketches(sets, 0.5), 0.5, x, None).collect()]
-    assert len(pairs) == len(set(pairs))
-    sk = {r["rep"]: (r["size"], set(r["sketch"])) for r in sets.collect()}
-    fits = {(a, b) for a in sk for b in sk if a < b and 2 * sk[a][0] >= sk[b][0] and 2 * sk[b][0] >= sk[a][0]}
-    assert set(pairs) == {(a, b) for a, b in fits if len(sk[a][1] & sk[b][1]) >= min(2, math.ceil(max(sk[a][0], sk[b][0]) / 2))}
-
-
-def test_join_finds_pairs_just_above_the_threshold(spark):
-    data = []
+    want = {p: j for p, j in brute_pairs(data, n, t).items() if grams(data[p[0]][1], n) != grams(data[p[1]][1], n)}
+    first = {}
+    for i, x, *_ in data:
+        first.setdefault(frozenset(grams(x, n)), i)
+    want = {p: j for p, j in want.items() if all(first[frozenset(grams(data[i][1], n))] == i for i in p)}
+    assert found_pairs(spark, data, n, t) == pytest.approx(want, abs=1e-6) and len(want) > 10
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in jaccard.jaccard_join(frame(spark, data), n, t).collect()}
+    assert got == brute_classes(data, n, t)
+
+
+@pytest.mark.parametrize("x", [0, 1, 5, 20, 10**6])
+def test_any_boundary_keeps_every_pair(spark, x, monkeypatch):
+    data = near_copies(4, 6, 15)
+    want = found_pairs(spark, data)
+    monkeypatch.setattr(jaccard, "boundary", lambda *_: x)
+    assert found_pairs(spark, data) == want and len(want) > 5
+
+
+def test_long_lists_are_divided(spark, monkeypatch):
+    data = near_copies(4, 6, 15) + [(1000 + i, f"same old words in every text {i}", "aa", "s", 1) for i in range(40)]
+    want = found_pairs(spark, data)
+    for block in (3, 7):
+        monkeypatch.setattr(jaccard, "_BLOCKS", np.array([max(1, -(-top // block)) for top in (2, 4, 8, 16, 32, 64, *[64] * 10)]))
+        assert found_pairs(spark, data) == want
+    assert sum(a >= 1000 for a, _ in want) == 40 * 39 // 2
+
+
+def test_a_small_counting_table_changes_nothing(spark, monkeypatch):
+    data = near_copies(12, 8, 20)
+    want = found_pairs(spark, data)
+    for bits, load in (((17, 17), 1), ((22, 22), 1)):
+        monkeypatch.setattr(jaccard, "SLOT_BITS", bits)
+        assert found_pairs(spark, data) == want
+    assert jaccard.slot_bits(10**15) == 22
+
+
+@pytest.mark.parametrize("length", [91, 201])
+def test_join_finds_pairs_just_above_the_threshold(spark, length):
+    data, want, n = [], set(), length - 1
+    shared = -(-2 * n // 3)  # of n bigrams each: the least for a similarity of one half
     for i in range(300):
-        w = [f"w{i}x{k}" for k in range(91)]  # 90 bigrams, of which 61 of 119 are shared
-        data += [(2 * i, " ".join(w), "aa", "s", 1), (2 * i + 1, " ".join(w[:62] + [f"v{i}x{k}" for k in range(29)]), "aa", "s", 1)]
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark, data)).collect()}
-    want = {(2 * i, 2 * i + 1) for i in range(300)}
-    assert got <= want and len(got) >= 298
+        w = [f"w{i}x{k}" for k in range(length)]
+        less = i % 2  # every second pair is one n-gram short
+        data += [(2 * i, " ".join(w), "aa", "s", 1), (2 * i + 1, " ".join(w[: shared + 1 - less] + [f"v{i}x{k}" for k in range(n - shared + less)]), "aa", "s", 1)]
+        if not less:
+            want.add((2 * i, 2 * i + 1))
+    assert set(found_pairs(spark, data)) == want
 
 
 def test_verification_can_be_divided(spark, monkeypatch):
+    data = near_copies(5)
+    want = found_pairs(spark, data)
     monkeypatch.setattr(jaccard, "TASK_PAIRS", 7)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
-    data = near_copies(5)
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark, data)).collect()}
-    want = set(brute_pairs(data, 2, 0.5))
-    assert got <= want and len(got) >= 0.97 * len(want)
+    monkeypatch.setattr(jaccard, "MAP_BLOCK_BYTES", 300)
+    assert found_pairs(spark, data) == want
+
+
+def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    data = near_copies(8)
+    want = sorted(map(tuple, jaccard.jaccard_join(frame(spark, data)).collect()))
+    monkeypatch.setattr(io, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(jaccard, "COPIES_BYTES", -1)
+    assert sorted(map(tuple, jaccard.jaccard_join(frame(spark, data)).collect())) == want
+
+
+def test_maps_never_differ_more_than_the_sets(spark):
+    import pyarrow as pa
+
+    texts = [x for _, x, *_ in near_copies(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    maps = [np.frombuffer(x.as_py(), np.uint64) for b in jaccard._maps(2)([batch]) for x in b.column(1)]
+    sets = [grams(x, 2) for x in texts]
+    for t in (0.5, 0.8):
+        assert all(jaccard._may(maps[a], maps[b], t) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]))
+    assert sum(jaccard._may(maps[a], maps[b], 0.5) for a in range(len(texts)) for b in range(a)) < len(texts) ** 2 / 8
 
 
 def test_join_of_odd_rows(spark):
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(frame(spark)).collect()}
-    assert (4, 105) in got and (4, 106) in got and (105, 106) in got
-    assert not any(x in (100, 101, 102, None) for p in got for x in p)
-    assert all(a < b for a, b in got)
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(frame(spark)).collect()}
+    assert got[4]["class_id"] == got[105]["class_id"] == got[106]["class_id"] == 4
+    assert (got[4]["copies"], got[4]["links"], got[106]["copies"], got[106]["links"]) == (1, 1, 0, 2)
+    assert got[2]["class_id"] == got[3]["class_id"] == 2 and got[2]["copies"] == 1  # one of its two texts
+    assert got.keys().isdisjoint({100, 101, 102, 103, 104, None, 1})
     assert jaccard.jaccard_join(empty(spark)).collect() == []
 
 
@@ -118,7 +164,8 @@ def test_near_duplicates_leave_the_smallest_of_each_group(spark):
     assert out.columns == df.columns
     kept = [r["doc_id"] for r in out.collect()]
     assert 4 in kept and 105 not in kept and 106 not in kept
-    assert kept.count(1) == 1 and kept.count(2) == 1 and kept.count(None) == 2
+    assert kept.count(1) == 1 and kept.count(None) == 2
+    assert kept.count(2) == 2 and 3 not in kept  # the second text of 2 is that of 3
     assert {100, 101, 102, 103, 104} <= set(kept)
     assert jaccard.drop_near_duplicates(empty(spark)).collect() == []
 
@@ -221,6 +268,37 @@ def test_repeats_are_those_of_brute_force(spark, depth, gram, task, monkeypatch)
     assert len(got) == len(set(got)) and set(got) == brute_ranges(data, depth)
 
 
+@pytest.mark.parametrize("hot", [0, 2, 30])
+def test_hot_digits_give_the_same_ranges(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "TASK_BYTES", 2000)
+    draw = random.Random(16)
+    line = words(draw, 15)
+    data = [(i, f"{words(draw, draw.randint(0, 20))} {line} {words(draw, draw.randint(0, 20))}", "aa", "s", 1) for i in range(60)] + [(70, "ha " * 40, "aa", "s", 1)]
+    data += [data[3], (4, data[9][1] + " more", "aa", "s", 1)]
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = [tuple(r) for r in repeats.repeated_passages(frame(spark, data[:-1]), 12, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_ranges(data[:-1], 12)
+    several = sorted(tuple(r) for r in repeats.repeated_passages(frame(spark, data), 12, 4).collect())
+    monkeypatch.setattr(repeats, "HOT", 10**9)
+    assert several == sorted(tuple(r) for r in repeats.repeated_passages(frame(spark, data), 12, 4).collect())
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 8, 9])
+def test_radix_sort_finds_equal_suffixes(depth):
+    draw = np.random.default_rng(depth)
+    tokens = draw.integers(0, 3, 2000).astype(np.uint64)
+    n = len(tokens) - depth + 1
+    group = draw.integers(0, 2, n)
+    index, got = repeats.radix_groups(group, lambda at, k: tokens[at + k], depth)
+    want = defaultdict(list)
+    for i in range(n):
+        want[(group[i], *tokens[i : i + depth])].append(i)
+    found = defaultdict(list)
+    for i, g in zip(index, got, strict=True):
+        found[g].append(i)
+    assert sorted(sorted(x) for x in found.values()) == sorted(x for x in want.values() if len(x) > 1)
+
+
 def test_repeats_of_odd_rows(spark):
     assert all(r["tokens"] >= 50 for r in repeats.repeated_passages(frame(spark)).collect())
     assert repeats.repeated_passages(empty(spark)).collect() == []
