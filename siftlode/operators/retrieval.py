@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scoring import B, K1, bm25
 from .index import postings
+from .sizes import held_bytes
 
-#: Rows of a side that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast, by its measured widths; larger sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+#: Documents of a limited search that go to the names, 24 bytes each.
+BROADCAST_TOP = 100_000
 #: Distinct terms of many queries that are a filter of the scan; beyond them postings and terms are joined.
 FILTER_TERMS = 20_000
 #: Units of a fixed-point score.
 FIXED = float(1 << 40)
 
 
-def by_size(df: DataFrame, rows: int | None = None) -> DataFrame:
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def by_size(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if held_bytes(df) <= BROADCAST_BYTES else df
 
 
 def live(rows: DataFrame, tombstones: DataFrame | None, key: str = "num_id") -> DataFrame:
@@ -107,9 +110,8 @@ def batch_search(rows: DataFrame, lengths: DataFrame | None, queries: DataFrame,
         df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
         wanted = by_size(wanted)
     else:
-        held = distinct.count()
-        hits = rows.join(by_size(distinct, held), "term")
-        df, wanted = by_size(hits.groupBy("term").agg(F.count("*").alias("df")), held), by_size(wanted)
+        hits = rows.join(by_size(distinct), "term")
+        df, wanted = by_size(hits.groupBy("term").agg(F.count("*").alias("df"))), by_size(wanted)
     part = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.lit(n), F.lit(total / n if total and n else 1.0), k1, b)
     scored = live(hits, tombstones).join(df, "term").select("term", "num_id", F.round(part * FIXED).cast("long").alias("s"))
     both = scored.join(wanted, "term").groupBy("query_id", "num_id", "asked").agg(F.count("*").alias("matched"), F.sum("s").alias("sum"))

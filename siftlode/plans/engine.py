@@ -235,7 +235,7 @@ class Index:
         df = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count("*").alias("n")).collect()}
         top = retrieval.rank(retrieval.live(rows, self._dead()), terms, df, held.total_docs, held.total_len, limit, mode, self.k1, self.b)
         # the few documents of a limited search go to the names, not the other way round
-        top = F.broadcast(top) if limit and 0 < limit <= retrieval.BROADCAST_ROWS else top
+        top = F.broadcast(top) if limit and 0 < limit <= retrieval.BROADCAST_TOP else top
         return self._visible(self.table("names").join(top, "num_id")).orderBy(F.desc("score"), "num_id").select("doc_id", "score")
 
     def batch_search(self, queries: DataFrame, limit: int | None = 10, mode: str = "or") -> DataFrame:
