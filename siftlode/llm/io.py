@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.sizes import held_bytes
 
 #: Bytes of a keyed side that may be broadcast, by its measured widths; larger sides are shuffled.
 BROADCAST_BYTES = 8 << 20
@@ -60,30 +62,6 @@ def written() -> int:
 atexit.register(clean)
 
 
-def width(column: Column, kind: T.DataType) -> Column:
-    """The bytes of a value."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
-            return F.coalesce(F.aggregate(column, F.lit(0), lambda n, x: n + width(x, kind.elementType).cast("int")), F.lit(0)) + 16
-        return F.coalesce(F.greatest(F.size(column), F.lit(0)) * 8, F.lit(0)) + 16
-    if isinstance(kind, T.StructType):
-        total = F.lit(8)
-        for f in kind.fields:
-            total = total + width(column[f.name], f.dataType)
-        return total
-    return F.lit(8)
-
-
-def held_bytes(df: DataFrame) -> int:
-    """The bytes of all rows, by one aggregation."""
-    total = F.lit(8).cast("long")
-    for f in df.schema.fields:
-        total = total + width(df[f"`{f.name}`"], f.dataType)
-    return df.agg(F.sum(total)).first()[0] or 0
-
-
 def by_size(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint while its bytes are at most ``most``, else as it is (then the join shuffles)."""
     return F.broadcast(df) if held_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df
