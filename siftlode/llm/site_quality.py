@@ -16,8 +16,10 @@ Everything else is counted over all documents.  The texts are read once for thei
 host and path move keys and sums.
 
 Defined results: a NULL text is empty, and measured as such; a NULL host or path is a group of its own; a document with several
-labels counts by their mean; without labels of both classes there is no evidence and every quality is one half; repeated rows
-are judged alike, each by itself; an empty table gives an empty result.
+labels counts by their mean; without labels of both classes there is no evidence, so that documents differ by their groups
+alone, and without any label every quality is one half; a quality just at the limit is kept; repeated rows are judged alike,
+each by itself; a very long text is measured whole; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

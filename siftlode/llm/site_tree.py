@@ -9,7 +9,8 @@ content),
 * composite importance of an element: (1 - g**l) * its own + g**l * sum p_i * (mean of the composite importance of the
   elements of style i), with g = ``GAMMA`` and l its number of styles; a leaf's is its own.
 
-A branch is removed from a page if its composite importance is below ``threshold``; what stays becomes text.
+A branch is removed from a page if its composite importance and that of all that it holds are below ``threshold``: so content
+is not lost for the wrappers about it, whose importance falls with every level.  What stays becomes text.
 
 Node identity is a hash of the path from the host down, so merging is a grouping, and composite importance is a grouping for
 each level of depth, over nodes that several pages share (those of a single page count 1 wherever they are).  Only hashes and
@@ -19,7 +20,9 @@ them, and each page receives its own.
 Defined results: pages that are equal on one host count once in the statistics, and all are cleaned; a NULL html gives a NULL
 text; html without text gives an empty text; html and body are never removed as a whole; elements nest as deep as the
 page has them; scripts, styles and comments are no content; a NULL or malformed url belongs to
-the host "" ; a host with one page loses nothing; unclosed and stray tags are repaired; an empty table gives an empty result.
+the host "" ; a host with one page loses nothing; a branch just at the threshold stays; unclosed and stray tags are repaired; a
+very long page is one page like any other; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -214,22 +217,26 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def importance(shared: DataFrame, styles: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """(node, importance): the composite importance of every node that several pages share, deepest level first."""
+    """(node, importance, most): the composite importance of every node that several pages share, and the greatest one of the
+    branch that it begins; deepest level first."""
     deepest = shared.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return shared.select("node", F.lit(1.0).alias("importance"))
+        return shared.select("node", F.lit(1.0).alias("importance"), F.lit(1.0).alias("most"))
     below, levels = None, []
     keep = F.pow(F.lit(gamma), F.col("items"))
     for d in range(deepest, -1, -1):
         here = shared.filter(F.col("depth") == d)
         if below is not None:
-            means = below.groupBy("parent").agg(F.avg("importance").alias("mean"))
-            sums = styles.filter(F.col("depth") == d).join(means, F.col("style") == F.col("parent"), "left").groupBy("owner").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0))).alias("sum"))
+            means = below.groupBy("parent").agg(F.avg("importance").alias("mean"), F.max("most").alias("top"))
+            sums = styles.filter(F.col("depth") == d).join(means, F.col("style") == F.col("parent"), "left").groupBy("owner").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0))).alias("sum"), F.max("top").alias("top"))
         else:
-            sums = styles.filter(F.col("depth") == d).groupBy("owner").agg(F.sum("n").alias("held"), F.lit(0.0).alias("sum"))
+            sums = styles.filter(F.col("depth") == d).groupBy("owner").agg(F.sum("n").alias("held"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"))
         inner = (F.coalesce("sum", F.lit(0.0)) + F.col("m") - F.coalesce("held", F.lit(0))) / F.col("m")
-        below = table(here.join(sums, F.col("node") == F.col("owner"), "left").select("node", "parent", F.when(F.col("leaf"), F.col("own")).otherwise((1 - keep) * F.col("own") + keep * inner).alias("importance")))
-        levels.append(below.select("node", "importance"))
+        value = F.when(F.col("leaf"), F.col("own")).otherwise((1 - keep) * F.col("own") + keep * inner)
+        # a style of one page counts 1
+        most = F.when(F.col("leaf"), value).otherwise(F.greatest(value, F.coalesce("top", F.lit(0.0)), F.when(F.col("m") > F.coalesce("held", F.lit(0)), 1.0).otherwise(0.0)))
+        below = table(here.join(sums, F.col("node") == F.col("owner"), "left").select("node", "parent", value.alias("importance"), most.alias("most")))
+        levels.append(below.select("node", "importance", "most"))
     while len(levels) > 1:  # pages can be deep: unions of unions keep the plan flat
         levels = [levels[i].unionByName(levels[i + 1]) if i + 1 < len(levels) else levels[i] for i in range(0, len(levels), 2)]
     return levels[0]
@@ -246,7 +253,7 @@ def _page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(page_id, host, text, removed, lost) of every page: the text of what stays, the branches removed, and their characters."""
     scored = importance(*style_tree(pages), gamma)
-    gone = table(scored.filter(F.col("importance") < threshold).select("node"))
+    gone = table(scored.filter(F.col("most") < threshold).select("node"))
     rows = pages.select("page_id", _host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     count = gone.count()
     if count <= broadcast_nodes:

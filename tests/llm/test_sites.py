@@ -82,11 +82,12 @@ def brute(pages, threshold, gamma=site_tree.GAMMA):
     for host, roots in hosts.items():
 
         def visit(path, nodes):
-            """Composite importance of the element at a path from its occurrences."""
+            """Composite importance of the element at a path from its occurrences, and the greatest within."""
             m = len(nodes)
             leaf = nodes[0].content is not None
             kinds = Counter(site_tree.item(n, 0) for n in nodes)
             own = 1.0 if m == 1 else -sum(c / m * math.log(c / m, m) for c in kinds.values())
+            top = 0.0
             if leaf:
                 value = own
             else:
@@ -94,13 +95,15 @@ def brute(pages, threshold, gamma=site_tree.GAMMA):
                 for style, c in kinds.items():
                     members = [n for n in nodes if site_tree.item(n, 0) == style]
                     kids = [visit((*path, style, i), [n.kids[i] for n in members]) for i in range(len(members[0].kids))]
-                    inner += c / m * (1.0 if c == 1 else sum(kids) / len(kids) if kids else 0.0)
+                    top = max([top, 1.0 if c == 1 else 0.0, *(t for _, t in kids)])
+                    inner += c / m * (1.0 if c == 1 else sum(v for v, _ in kids) / len(kids) if kids else 0.0)
                 value = (1 - gamma ** len(kinds)) * own + gamma ** len(kinds) * inner
             if m == 1:
                 value = 1.0
-            if value < threshold and m > 1:
+            top = max(top, value)
+            if top < threshold and m > 1:
                 low.add((host, path))
-            return value
+            return value, top
 
         if roots:
             visit((), roots)
@@ -245,3 +248,106 @@ def test_measures_of_empty_texts():
     m = site_quality.measures(pa.array(["", None, "a a b!", "é É 9\n"]))
     assert np.isfinite(m).all() and (m[:2] == 0).all()
     assert m[2][site_quality.MEASURES.index("exclaims")] == pytest.approx(1 / 4)
+
+
+# independent of the parser: trees of the standard library's
+
+
+def independent(pages, threshold, gamma=site_tree.GAMMA):
+    """The words that stay of every page of one host; pages are well-formed."""
+    from html.parser import HTMLParser
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack = [["#page", [], None]]
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            node = [f"{tag}.{' '.join(sorted((a.get('class') or '').split()))}#{a.get('id') or ''}", [], None]
+            self.stack[-1][1].append(node)
+            self.stack.append(node)
+            if "href" in a and tag == "a":
+                node[1].append(["#link", [], a["href"]])
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.stack[-1][1].append(["#text", [], data])
+
+    roots = []
+    for page in pages:
+        b = Builder()
+        b.feed(page)
+        b.close()
+        roots.append(b.stack[0])
+    low = set()
+
+    def held(n):
+        if n[2] is None:
+            return tuple(k[0] for k in n[1])
+        return "".join("0" if c.isdigit() and (i == 0 or not n[2][i - 1].isdigit()) else "" if c.isdigit() else c for i, c in enumerate(n[2])).lower().split()
+
+    def score(group):
+        """Composite importance of one node from its occurrences, by entropy in natural logarithms, and the greatest within."""
+        styles = defaultdict(list)
+        for n in group:
+            styles[str(held(n))].append(n)
+        m = len(group)
+        if m == 1:
+            return 1.0, 1.0
+        own = sum(len(g) / m * (math.log(m) - math.log(len(g))) for g in styles.values()) / math.log(m)
+        total, within = own, [0.0]
+        if group[0][2] is None:
+            inner = 0.0
+            for g in styles.values():
+                kids = [score([n[1][i] for n in g]) for i in range(len(g[0][1]))]
+                within += [1.0] if len(g) == 1 else [t for _, t in kids]
+                inner += len(g) / m * (1.0 if len(g) == 1 else sum(v for v, _ in kids) / len(kids) if kids else 0.0)
+            damp = gamma ** len(styles)
+            total = own - damp * own + damp * inner
+        if max(total, *within) < threshold:
+            low.update(map(id, group))
+        return total, max(total, *within)
+
+    score(roots)
+
+    def words_of(n):
+        if id(n) in low and n[0] not in ("#page", "html.#", "body.#"):
+            return []
+        return n[2].split() if n[0] == "#text" else [w for k in n[1] for w in words_of(k)]
+
+    return [words_of(r) for r in roots]
+
+
+def test_extraction_is_that_of_another_parser(spark):
+    draw = random.Random(41)
+    pages = []
+    for i in range(24):
+        side = '<div class="ad box"><b>Buy now</b> and save</div>' if draw.random() < 0.6 else ""
+        menu = "".join(f"<li><a href='/{x}'>{x} page</a></li>" for x in ("home", "about", "news")[: draw.randint(2, 3)])
+        body = "".join(f"<p>{words(draw, 8)}</p>" for _ in range(draw.randint(1, 4)))
+        pages.append(f"<html><head><title>{words(draw, 3)}</title></head><body><nav id='top'><ul>{menu}</ul></nav>{side}<article><h1>{words(draw, 3)}</h1>{body}</article><footer>Rights reserved {2000 + i}</footer></body></html>")
+    for threshold in (0.1, 0.3, 0.6):
+        got = {r["page_id"]: r["text"].split() for r in site_tree.extract(pages_frame(spark, [(f"http://one.example/{i}", p) for i, p in enumerate(pages)]), threshold).collect()}
+        want = independent(pages, threshold)
+        assert [got[i] for i in range(len(pages))] == want
+        assert threshold > 0.5 or any("reserved" not in w for w in want)
+
+
+def test_deep_and_long_pages_are_extracted(spark):
+    draw = random.Random(42)
+    long = words(draw, 30_000)
+    pages = [f"<body>{'<div>' * 40}<p>{words(draw, 9)} {i}</p>{'</div>' * 40}<footer>same foot</footer></body>" for i in range(6)] + [f"<body><p>{long}</p><footer>same foot</footer></body>"] * 2
+    out = {r["page_id"]: r for r in site_tree.extract(pages_frame(spark, [(f"http://one.example/{i}", p) for i, p in enumerate(pages)])).collect()}
+    assert all("same foot" not in out[i]["text"] for i in range(6)) and len({out[i]["text"] for i in range(6)}) == 6
+    assert all(len(out[i]["text"].split()) >= 30_000 for i in (6, 7))
+
+
+def test_quality_with_labels_of_one_class_only(spark):
+    docs = frame(spark)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    rows_ = site_quality.site_quality(docs, labels).collect()
+    assert {r["evidence"] for r in rows_} == {0.0} and all(0 < r["quality"] < 1 for r in rows_)
