@@ -7,6 +7,7 @@ after the document's; the ``index_`` and segment queries build an index of four
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -45,12 +46,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_made: list[tuple] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the folders of this process's queries."""
+    for jvm, conf, folder in _made:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session has ended, and with it the way to its files
+            return
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared folder; a temporary one only in a local session without it."""
+    """A new folder in the shared folder, for as long as the process lasts; a temporary one only in a local session without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="siftlode-index-")
+    folder = f"{named.rstrip('/')}/index-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="siftlode-index-")
+    _made.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder))
+    return folder
 
 
 _built: dict[tuple[str, str, bool], str] = {}
