@@ -3,7 +3,7 @@
 Texts become token ids by a public byte-level BPE vocabulary, whose file is a parameter.  The histogram of all lengths is
 global and exact.  Dynamic programming over it chooses at most ``buckets`` boundaries so that padding every sequence to its
 bucket's boundary costs the fewest tokens (divide and conquer over the monotone optimal cuts).  Inside a bucket, documents are
-dealt to shards of about ``shard_rows`` rows by a hash, and each shard, in order of doc_id, is cut into batches of as many
+dealt by a hash to shards of about ``shard_batches`` batches, and each shard, in order of doc_id, is cut into batches of as many
 sequences as the token budget holds at the bucket's boundary.
 
 Texts are tokenized once, into a table; the sequences move once, to their shards, where batches lie in order.  The driver
@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .hashing import chunks
 from .io import table
 
 BUCKETS = 8
 BUDGET = 65_536
-SHARD_ROWS = 20_000
+SHARD_BATCHES = 64
 #: Ranks of a byte-level BPE, one to a line (the token in base 64, and its number), and the pattern that splits text before it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,10 +52,11 @@ def _tokenized(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value).encode_ordinary
         for batch in batches:
-            found = [np.array(encode(x) if x else [], np.int32) for x in batch.column(1).to_pylist()]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "tokens"])
+            for a, b in chunks(batch.column(1)):
+                found = [np.array(encode(x) if x else [], np.int32) for x in batch.column(1).slice(a, b - a).to_pylist()]
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), ids], ["doc_id", "n_tokens", "tokens"])
 
     return run
 
@@ -97,7 +99,7 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return [int(size[e - 1]) for e in reversed(ends)]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_batches: int = SHARD_BATCHES, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, bucket, padded, shard, batch, slot, tokens) of every row: batches lie in order within their shards."""
     rows = table(tokenized(docs, vocabulary))
     histogram = sorted((r["n_tokens"], r["count"]) for r in rows.groupBy("n_tokens").count().collect())
@@ -109,8 +111,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_ro
         here = F.col("n_tokens") <= ends[i]
         bucket = F.when(here, F.lit(i)).otherwise(bucket)
         padded = F.when(here, F.lit(ends[i]).cast("long")).otherwise(padded)
-        per = F.when(here, F.lit(max(1, budget // max(1, ends[i]))).cast("long")).otherwise(per)
-        shards = F.when(here, F.lit(-(-held[i] // shard_rows) or 1).cast("long")).otherwise(shards)
+        fit = max(1, budget // max(1, ends[i]))
+        per = F.when(here, F.lit(fit).cast("long")).otherwise(per)
+        shards = F.when(here, F.lit(-(-held[i] // (fit * shard_batches)) or 1).cast("long")).otherwise(shards)
     # the hash of the tokens too: many rows of one doc_id, or of none, are no shard of their own
     placed = rows.select("doc_id", "n_tokens", "tokens", bucket.cast("long").alias("bucket"), padded.alias("padded"), per.alias("per"), F.pmod(F.xxhash64("doc_id", "tokens"), shards).alias("shard"))
     at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "tokens")).cast("long") - 1
