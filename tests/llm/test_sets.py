@@ -137,6 +137,28 @@ def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_join(frame(spark, data)).collect())) == want
 
 
+def test_the_driver_holds_one_piece_of_the_counting_table_at_a_time(spark, monkeypatch):
+    data = near_copies(8)
+    want = found_pairs(spark, data)
+    monkeypatch.setattr(jaccard, "SLOT_BITS", (19, 19))
+    monkeypatch.setattr(jaccard, "PIECE_BYTES", 1 << 16)
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(len(value)) or send(value))
+    assert found_pairs(spark, data) == want and len(want) > 10
+    assert sent.count(1 << 16) == 4 and max(sent) == 1 << 16
+
+
+def test_ids_of_copies_are_sent_in_pieces(spark, monkeypatch):
+    data = [(i, t, "aa", "s", 1) for i, (_, t, *_) in enumerate(near_copies(8, 6, 15) * 3)]
+    monkeypatch.setattr(jaccard, "PIECE_BYTES", 256)
+    corpus = jaccard.Corpus(frame(spark, data), 2)
+    assert "Broadcast" not in corpus.sets._jdf.queryExecution().toString()
+    sent = [i for x in corpus.skip for i in np.frombuffer(x.value, np.int64).tolist()]
+    assert sorted(sent) == sorted(r["id"] for r in corpus.copies.collect()) and len(corpus.skip) > 2
+    got = {r["doc_id"]: (r["class_id"], r["copies"], r["links"]) for r in jaccard.jaccard_join(frame(spark, data)).collect()}
+    assert got == brute_classes(data, 2, 0.5)
+
+
 def test_maps_never_differ_more_than_the_sets(spark):
     import pyarrow as pa
 
