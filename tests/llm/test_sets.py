@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -159,6 +160,24 @@ def test_ids_of_copies_are_sent_in_pieces(spark, monkeypatch):
     assert got == brute_classes(data, 2, 0.5)
 
 
+def test_finished_steps_leave_nothing_in_the_driver(spark, monkeypatch):
+    runtime = spark.sparkContext._jvm.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    held = spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(128 << 20)
+    io.settle(spark)
+    full = used()
+    del held
+    for _ in range(20):  # Py4J tells the JVM a little later
+        io.settle(spark)
+        if full - used() > 100 << 20:
+            break
+        time.sleep(0.2)
+    assert full - used() > 100 << 20
+    calls = []
+    monkeypatch.setattr(jaccard, "settle", calls.append)
+    assert jaccard.drop_near_duplicates(frame(spark, near_copies(8))).count() and len(calls) >= 4
+
+
 def test_maps_never_differ_more_than_the_sets(spark):
     import pyarrow as pa
 
