@@ -106,6 +106,17 @@ def test_several_segments_sum(spark):
     assert sorted(map(tuple, retrieval.merged(rows).collect())) == [("a", 1, 5, 6, "s0"), ("a", 2, 1, 1, "s1")]
 
 
+def test_terms_are_counted_within_documents(spark, corpus):
+    docs = spark.createDataFrame([*corpus, (43, "ash bay ash Ash  bay knoll")], "doc_id long, text string")
+    analyzed = index.analyze(docs)
+    want = sorted((i, w, n, len(t.lower().split())) for i, t in [*corpus, (43, "ash bay ash Ash  bay knoll")] for w, n in Counter((t or "").lower().split()).items())
+    for rows in (index.postings(analyzed), index.of_counted(index.counted(analyzed))):
+        assert sorted(map(tuple, rows.collect())) == want
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+    assert sorted(map(tuple, index.postings(analyzed, ["bay", "nosuch"]).collect())) == [x for x in want if x[1] == "bay"]
+
+
 def test_empty_documents_count(relations):
     assert tuple(index.corpus_stats(relations[1]).first())[0] == 43
     assert {r["num_id"] for r in relations[1].filter("dl = 0").collect()} == {40, 41}
