@@ -106,6 +106,14 @@ def test_several_segments_sum(spark):
     assert sorted(map(tuple, retrieval.merged(rows).collect())) == [("a", 1, 5, 6, "s0"), ("a", 2, 1, 1, "s1")]
 
 
+def test_named_segments_sum_without_a_sort(spark):
+    rows = spark.createDataFrame([("a", 1, 2, 5, "s1"), ("a", 1, 3, 6, "s0"), ("a", 2, 1, 1, "s1"), ("b", 1, 1, 5, "s9")], "term string, num_id long, tf long, dl long, seg_id string")
+    got = retrieval.merged(rows, ["s9", "s0", "s1"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.merged(rows).collect()))
+    assert got.schema.names == retrieval.merged(rows).schema.names
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_terms_are_counted_within_documents(spark, corpus):
     docs = spark.createDataFrame([*corpus, (43, "ash bay ash Ash  bay knoll")], "doc_id long, text string")
     analyzed = index.analyze(docs)
