@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,36 @@ def test_batch_search_agrees_with_single_searches(spark, relations, corpus):
         assert [s for _, _, s in mine] == pytest.approx([s for _, s in want], abs=1e-10)
 
 
+def test_batch_search_by_documents_agrees_with_the_join(spark, monkeypatch):
+    draw = random.Random(11)
+    texts = [(i, " ".join(draw.choices(WORDS, [2**-k for k in range(10)], k=draw.randint(0, 30)))) for i in range(300)]
+    analyzed = index.analyze(spark.createDataFrame([*texts, *[(300 + i, t) for i, t in texts[:40]]], "doc_id long, text string"))
+    rows, lengths = index.postings(analyzed).cache(), index.doc_lengths(analyzed)
+    asked = retrieval.literal_queries(spark, {i: draw.choices([*WORDS, "nosuch"], k=draw.randint(0, 6)) for i in range(25)})
+    dead = spark.createDataFrame([(3,), (7,), (7,)], "num_id long")
+    find = lambda mode, limit: sorted(map(tuple, retrieval.batch_search(rows, lengths, asked, limit, mode, tombstones=dead).collect()))
+    for mode in ("or", "and"):
+        for limit in (1, 7, 1000):
+            monkeypatch.setattr(retrieval, "HELD_TERMS", -1)
+            want = find(mode, limit)
+            monkeypatch.setattr(retrieval, "HELD_TERMS", 1000)
+            monkeypatch.setattr(retrieval, "SCORE_ROWS", 37)
+            monkeypatch.setattr(retrieval, "SCORE_CELLS", 60)
+            assert find(mode, limit) == want and want
+    plan = retrieval.batch_search(rows, lengths, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [query_id" not in plan  # no row for each pair of a query and a document
+
+
+def test_sums_of_a_batch_are_exact_beyond_doubles():
+    import pyarrow as pa
+
+    parts = [(1 << 52) + 1, (1 << 52) + 3, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 5, 6]), pa.array([0, 1, 0], pa.int32()), pa.array(parts)], ["num_id", "k", "s"])
+    best = retrieval._best(np.array([0, 1, 2]), np.array([0, 0]), np.array([2]), 2, False)
+    (out,) = best([batch])
+    assert out.to_pydict() == {"q": [0, 0], "num_id": [5, 6], "sum": [(1 << 53) + 4, 1]}
+
+
 def test_boolean(relations, corpus):
     bags = {i: (t or "").split() for i, t in corpus}
     assert {r["num_id"] for r in retrieval.and_query(relations[0], ["ash", "bay"]).collect()} == {i for i, x in bags.items() if {"ash", "bay"} <= set(x)}
