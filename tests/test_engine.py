@@ -188,6 +188,17 @@ def test_a_large_segment_has_several_files_and_right_numbers(spark, tmp_path, mo
         assert x.manifest.segments[0].terms == 1 + 12_000 + 97 and x.manifest.segments[0].postings_bytes > 0
 
 
+def test_texts_are_tokenized_once_and_move_once(spark, tmp_path, monkeypatch):
+    seen, write = [], segments.write_segment
+    monkeypatch.setattr(segments, "write_segment", lambda spark, root, seg, *tables: seen.extend(x._jdf.queryExecution().executedPlan().toString() for x in tables[:3]) or write(spark, root, seg, *tables))
+    rows = [(f"d{i}", f"fox w{i % 7} fox") for i in range(50)] + [("d3", "late cat"), ("d4", None)]
+    with Index.open(spark, tmp_path / "index") as x:
+        x.add_many(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1))
+        assert len(seen) == 3 and not any("regexp_extract_all" in p for p in seen)
+        assert x.doc_count() == 50 and hits(x.search("cat")) == ["d3"] and len(hits(x.search("fox"))) == 48
+        assert x.table("postings").filter("term = 'fox'").select("tf", "dl").distinct().collect() == [(2, 3)]
+
+
 def test_folder_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/index"
     with Index.open(spark, uri) as x:
