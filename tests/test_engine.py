@@ -199,6 +199,16 @@ def test_texts_are_tokenized_once_and_move_once(spark, tmp_path, monkeypatch):
         assert x.table("postings").filter("term = 'fox'").select("tf", "dl").distinct().collect() == [(2, 3)]
 
 
+def test_a_cascade_writes_each_segment_once(spark, tmp_path, monkeypatch):
+    made, merge = [], Index._merge
+    monkeypatch.setattr(Index, "_merge", lambda self, positions, tier: made.append(tier) or merge(self, positions, tier))
+    with Index.open(spark, tmp_path / "index", fanout=2) as x:
+        for i in range(4):
+            x.add_many(spark.createDataFrame([(f"d{i}", f"fox w{i}")], "doc_id string, text string"))
+        assert made == [1, 2] and [s.tier for s in x.manifest.segments] == [2]
+        assert sorted(hits(x.search("fox"))) == ["d0", "d1", "d2", "d3"] and hits(x.search("w2")) == ["d2"]
+
+
 def test_folder_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/index"
     with Index.open(spark, uri) as x:
